@@ -32,7 +32,7 @@ def test_queue_against_brute_force():
 
 def test_round_trip(spark):
     r = random.Random(5)
-    words = ["Hello", "world.", "don't", "naïve", "éa", "x1y2", "<|endoftext|>", "Q!", "a-b", "Σας", " z", "é", "...", "漢字"]
+    words = ["Hello", "world.", "don't", "naïve", "éa", "x1y2", "<|endoftext|>", "Q!", "a-b", "Σας", " z", "é", "...", "漢字", "É×Ü÷ß", "it's", "É.É", "a1é2!!??", "e\u0301x", "Ã\x97", "ÀÉÎÕÜÝÞ", "x\u00adY", "ﬁn", "İ", "#$%^&*"]
     rows = [(i, " ".join(r.choice(words) for _ in range(r.choice([0, 3, 50, 700])))) for i in range(80)]
     rows += [(100, None), (101, ""), (102, " \n "), (103, "word " * 9000), (104, "long" * 3000), (105, "a\x0bb\x85c d\x1ce")]
     got = pack(spark.createDataFrame(rows, SCHEMA).repartition(3), PATH).collect()
