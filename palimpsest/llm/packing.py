@@ -13,8 +13,9 @@ The program runs over blocks of ``BLOCK`` tokens; what follows the best last cut
 carried into the next, so memory is bounded by a block and the longest document. The end of a
 partition is cut into powers of two, which need no padding. Nothing is shuffled.
 
-Tokens come from the tokenizer itself, but one call for each distinct word of a slice: the
-tokenizer drops white space and never joins across it.
+Tokens come from the tokenizer, but by one call for each distinct piece of a slice that is not
+in a bounded cache: the tokenizer drops white space and never joins across it, nor across the
+bounds of letters, digits and marks.
 
 Cases: null text is an empty document (one end token); empty tables give an empty result;
 repeated rows are packed once each; other columns are ignored; texts longer than a sequence
@@ -24,16 +25,16 @@ span as many sequences as they need.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.words import buffers, hashes, scan, slices
+from palimpsest.llm.words import LOWER_BYTE, buffers, hashes, scan, slices
 
 LENGTH = 2048
 END_TOKEN = 1
@@ -42,49 +43,108 @@ SENTENCE_PENALTY, HARD_PENALTY = 1, 24
 #: Sentences of more tokens than this get hard cuts, so many tokens apart.
 LONG, STEP = 96, 16
 SLICE_BYTES = 4 << 20
-CACHED_WORDS = 150_000
+CACHED = 200_000
 
-#: Only these bytes separate words here; any other white space is left to the tokenizer.
+#: Only these bytes separate chunks here; any other white space is left to the tokenizer.
 _UNBROKEN = np.ones(256, bool)
 _UNBROKEN[[0x09, 0x0A, 0x0D, 0x20]] = False
+#: Kinds of bytes: chunks of letters, digits and marks alone are split as the tokenizer would.
+_SPACE, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[0x27, 0x3C]] = _OTHER  # contractions, and the strings of special tokens
+_KIND[[0x09, 0x0A, 0x0D, 0x20]] = _SPACE
+
+
+def byte_characters() -> list[str]:
+    """The characters that byte-level vocabularies write for bytes: printable ones stand for themselves."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+def pieces(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and plainness of the pieces of all rows, and the bytes to read them from.
+
+    Plain pieces are lower-cased runs of ASCII or Latin-1 letters, runs of marks, or one digit.
+    A chunk with anything else in it stays one piece.
+    """
+    kind, text = _KIND[raw], LOWER_BYTE[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    trail = raw[lead + 1]
+    symbol = (trail == 0x97) | (trail == 0xB7)
+    kind[lead + 1] = np.where(symbol, _OTHER, _LETTER)
+    upper = (trail <= 0x9E) & ~symbol
+    text[lead[upper] + 1] += 0x20
+    starts, ends, _ = scan(raw, at, _UNBROKEN)
+    odd = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(kind == _OTHER, out=odd[1:])
+    odd = odd[ends] > odd[starts]
+    within = np.zeros(len(raw) + 1, np.int8)
+    within[starts[odd]] = 1
+    np.add.at(within, ends[odd], -1)
+    within = np.cumsum(within[:-1], dtype=np.int8).astype(bool)
+    kind[within] = _OTHER
+    text[within] = raw[within]
+    begin = kind != _SPACE
+    begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    begin[starts] = True
+    first = np.flatnonzero(begin)
+    last = np.append(first[1:], len(raw))
+    last = np.minimum(last, ends[np.searchsorted(ends, first, "right")])
+    return first, last, kind[first] != _OTHER, text
 
 
 class Words:
-    """Token ids of whole texts, with a bounded cache of words."""
+    """Token ids of whole texts, with a cache of pieces in two generations of bounded size."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, list[int]] = {}
+        self.model = self.tokenizer.model
+        self.characters = dict(enumerate(byte_characters()))
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         ends = [i for t, i in self.tokenizer.get_vocab().items() if (s := t.removesuffix("</w>")) and not s.strip(".!?") and t.endswith("</w>")]
         self.sentence_end = np.zeros(max(self.tokenizer.get_vocab_size(), END_TOKEN + 1) + 1, bool)
         self.sentence_end[ends] = True
 
+    def encoded(self, piece: bytes, plain: bool) -> bytes:
+        """Ids of one piece: plain ones need none of the tokenizer's steps before its model."""
+        if plain:
+            ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.characters))]
+        else:
+            ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def found(self, piece: bytes, plain: bool) -> bytes:
+        ids = self.new.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            self.new[piece] = ids = self.encoded(piece, plain) if ids is None else ids
+        return ids
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in a run, and the offset of each row."""
         raw, at = buffers(texts)
-        starts, ends, first = scan(raw, at, _UNBROKEN)
-        if not len(starts):
+        if not _UNBROKEN[raw].any():
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        _, index, inverse = np.unique(hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        text, cache = raw.tobytes(), self.cache
-        words = [text[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist())]
-        missing = [w for w in words if w not in cache]
-        if len(cache) + len(missing) > CACHED_WORDS:
-            cache.clear()
-            missing = words
-        for a in range(0, len(missing), 4096):
-            part = missing[a : a + 4096]
-            cache.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False))))
-        found = [cache[w] for w in words]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        starts, ends, plain, read = pieces(raw, at)
+        _, index, inverse = np.unique(hashes(read, starts, ends), return_index=True, return_inverse=True)
+        if len(self.new) > CACHED:
+            self.old, self.new = self.new, {}
+        text, found = read.tobytes(), self.found
+        own = [found(text[a:b], p) for a, b, p in zip(starts[index].tolist(), ends[index].tolist(), plain[index].tolist())]
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        flat = np.frombuffer(b"".join(own), np.uint32)
         begins = np.cumsum(lengths) - lengths
         each = lengths[inverse]
         to = np.zeros(len(each) + 1, np.int64)
         np.cumsum(each, out=to[1:])
-        return flat[np.repeat(begins[inverse] - to[:-1], each) + np.arange(to[-1])], to[first]
+        return flat[np.repeat(begins[inverse] - to[:-1], each) + np.arange(to[-1])], to[np.searchsorted(starts, at)]
 
 
 def best_cuts(positions: list[int], penalties: list[int], length: int) -> tuple[list[float], list[int]]:
