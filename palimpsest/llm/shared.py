@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -38,14 +37,15 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, cut from their lineage by a checkpoint in the shared folder."""
+    scratch_root(df.sparkSession)
+    return df.checkpoint()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def documents(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the columns asked for, so that extra or clashing ones never meet the operator's own."""
-    return df.select(*[F.col(c) for c in columns])

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import checkpointed, written
 from palimpsest.llm.words import LOWER_BYTE, NOT_SPACE, U, buffers, scan, slices
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -271,7 +271,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, buc
     rows = probes(distinct, groups, thresholds(distinct, n, both, groups, distance))
     found = None
     while True:
-        large = rows.groupBy("mask", "value").count().filter(F.col("count") > bucket).drop("count").checkpoint()
+        large = checkpointed(rows.groupBy("mask", "value").count().filter(F.col("count") > bucket).drop("count"))
         masks = [r.mask for r in large.select("mask").distinct().collect()]
         own = verify(rows.join(large, ["mask", "value"], "left_anti") if masks else rows, distance)
         found = own if found is None else found.unionByName(own)
@@ -289,12 +289,12 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, buc
         for mask in masks:
             finer = F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("value")) for m in _split_masks(mask, distance)])
             keys = F.when(F.col("mask") == mask, finer) if keys is None else keys.when(F.col("mask") == mask, finer)
-        rows = rest.select("rep", "fingerprint", F.explode(keys).alias("key")).select("key.mask", "key.value", "rep", "fingerprint").distinct().checkpoint()
+        rows = checkpointed(rest.select("rep", "fingerprint", F.explode(keys).alias("key")).select("key.mask", "key.value", "rep", "fingerprint").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of an edge can reach, by large and small stars."""
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
+    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -308,7 +308,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: neighbours below a node, and the node, link to the least of them.
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         lower = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = lower.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct().checkpoint()
+        edges = checkpointed(lower.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
 
 
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import scratch_path, shuffle_partitions
+from palimpsest.llm.shared import checkpointed, scratch_path, shuffle_partitions
 from palimpsest.llm.words import NOT_SPACE, Spans, U, buffers, hashes, mix, scan, slices
 
 ROUNDS = 6
@@ -108,6 +108,7 @@ class Chunk:
         self.starts = np.flatnonzero(np.cumsum(valid)[:-1])
         self.spans, self.size = spans, size
         keys = np.zeros(len(self.starts), U)
+        occurring = [np.zeros(0, U)]
         left = np.arange(len(self.starts))
         levels = rewrite(symbols, barrier)
         for number in range(len(levels) - 1, -1, -1):
@@ -129,11 +130,14 @@ class Chunk:
                 with np.errstate(over="ignore"):
                     named = mix(sym[own] + spans(lo[own], hi[own]) + U(number))
                 keys[found] = named[np.cumsum(new) - 1]
+                occurring.append(named)
             left = left[~inside]
         self.keys = keys
+        #: One entry for each place of a symbol that keys windows, however many it keys.
+        self.occurring = np.concatenate(occurring)
 
-    def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.unique(self.keys, return_inverse=True, return_counts=True)
+    def distinct_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.occurring, return_counts=True)
 
     def prints(self, which: np.ndarray) -> np.ndarray:
         start = self.starts[which]
@@ -210,9 +214,10 @@ def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
 
 def _windows_to_verify(chunk: Chunk, buckets: int, answers: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows under shared keys: which, their buckets and fingerprints."""
-    unique, inverse, _ = chunk.distinct_keys()
-    shared = _bits(answers, bucket_of(unique, buckets))
-    which = np.flatnonzero(shared[inverse]) if len(unique) else np.zeros(0, np.int64)
+    unique, _ = chunk.distinct_keys()
+    shared = unique[_bits(answers, bucket_of(unique, buckets))]
+    place = np.minimum(np.searchsorted(shared, chunk.keys), max(len(shared) - 1, 0))
+    which = np.flatnonzero(shared[place] == chunk.keys) if len(shared) else np.zeros(0, np.int64)
     return which, bucket_of(chunk.keys[which], buckets), chunk.prints(which)
 
 
@@ -264,7 +269,7 @@ def repeated_windows(documents: DataFrame, window: int, finish: Callable[[pa.Arr
 
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk_id, texts in _rows(batches, "chunk_id", "texts"):
-            unique, _, counts = Chunk(texts.values, window).distinct_keys()
+            unique, counts = Chunk(texts.values, window).distinct_keys()
             yield _sent(chunk_id.as_py(), bucket_of(unique, n), unique, counts > 1)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +289,9 @@ def repeated_windows(documents: DataFrame, window: int, finish: Callable[[pa.Arr
             np.add.at(edge, repeated + window, -1)
             yield finish(doc_ids.values, texts.values, chunk, np.cumsum(edge)[: chunk.size] > 0)
 
-    keys = _answered(table.select("chunk_id", "texts").mapInArrow(reveal, _SENT), "keys")
-    keys = keys.checkpoint()
+    keys = checkpointed(_answered(table.select("chunk_id", "texts").mapInArrow(reveal, _SENT), "keys"))
     keyed = table.join(keys, "chunk_id", "left")
-    windows = _answered(keyed.select("chunk_id", "texts", "keys").mapInArrow(verify, _SENT), "windows").checkpoint()
+    windows = checkpointed(_answered(keyed.select("chunk_id", "texts", "keys").mapInArrow(verify, _SENT), "windows"))
     return keyed.join(windows, "chunk_id", "left").select("doc_ids", "texts", "keys", "windows").mapInArrow(remove, schema)
 
 
