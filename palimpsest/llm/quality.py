@@ -141,8 +141,12 @@ def base_failed() -> Column:
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The documents, with their columns, that pass the base rule and the table."""
-    return measured(documents).filter(~base_failed() & verdict()).select(*documents.columns)
+    """The documents, with their columns, that pass the base rule and the table.
+
+    The row number keeps the filter above the projections; pushed below, it would repeat them.
+    """
+    judged = measured(documents).select(*documents.columns, (~base_failed() & verdict()).alias(_PREFIX + "kept"), F.monotonically_increasing_id().alias(_PREFIX + "row"))
+    return judged.filter(_c("kept") & (_c("row") >= 0)).select(*documents.columns)
 
 
 def digest(documents: DataFrame) -> DataFrame:
