@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from palimpsest.llm.shared import checkpointed, written
+
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 #: What follows the first character of a control string (fixed values).
@@ -56,7 +58,7 @@ def threads(conversations: DataFrame) -> DataFrame:
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(conv_id, path, depth, message): the messages on the best root-to-leaf paths of each tree, path counting from 1."""
-    nodes = messages.select("conv_id", "message", "parent", "score").checkpoint()
+    nodes = checkpointed(messages.select("conv_id", "message", "parent", "score"))
     known = nodes.select(F.col("conv_id").alias("c"), F.col("message").alias("m"))
     parent = F.when(F.col("m").isNotNull(), F.col("parent"))
     state = nodes.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("m")), "left").select(
@@ -64,22 +66,23 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     )
     jumps = []
     while True:
-        state = state.checkpoint()
+        state = checkpointed(state)
         jumps.append(state.select("conv_id", "message", "up").filter("up is not null"))
         if jumps[-1].isEmpty():
             break
         above = state.select(F.col("conv_id").alias("c"), F.col("message").alias("m"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("sum").alias("plus"))
-        state = state.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")), "left").select(
-            "conv_id", "message", F.col("further").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("sum") + F.coalesce("plus", F.lit(0.0))).alias("sum")
-        )
+        going = state.filter("up is not null").join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")))
+        moved = going.select("conv_id", "message", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("sum") + F.col("plus")).alias("sum"))
+        state = state.filter("up is null").unionByName(moved)
     parents = nodes.select(F.col("conv_id").alias("c"), F.col("parent").alias("m")).filter("m is not null").distinct()
     leaves = state.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message") == F.col("m")), "left_anti")
     rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc(F.col("sum") / F.col("steps")), F.desc("steps"), "message"))
-    paths = leaves.withColumn("path", rank).filter(F.col("path") <= branches).select("conv_id", "path", F.col("steps").alias("depth"), "message")
+    ranked = leaves.withColumn("path", rank).filter(F.col("path") <= branches)
+    paths = checkpointed(ranked.select("conv_id", "path", F.col("steps").alias("depth"), "message"))
     for power in range(len(jumps) - 2, -1, -1):
         jump = jumps[power].select(F.col("conv_id").alias("c"), F.col("message").alias("m"), "up")
         further = paths.join(jump, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message") == F.col("m"))).select("conv_id", "path", (F.col("depth") - (1 << power)).alias("depth"), F.col("up").alias("message"))
-        paths = paths.unionByName(further)
+        paths = checkpointed(paths.unionByName(further))
     return paths
 
 
@@ -120,12 +123,12 @@ def extra_conversation(spark: SparkSession) -> DataFrame:
 
 def digest(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra_conversation(conversations.sparkSession))
-    read = read_back(format_trees(threads(rows)))
-    written = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    read = read_back(format_trees(written(threads(rows), "messages")))
+    turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(written, 256).alias("turns_sha256"),
+        F.sha2(turns, 256).alias("turns_sha256"),
         F.char_length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
