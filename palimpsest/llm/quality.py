@@ -15,6 +15,8 @@ shadowed; empty tables give empty results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ TABLE: list[tuple[str, str, float | None, float | None]] = [
     ("words with letters", "letter_words", 0.5, None),
     ("bullet lines", "bullet_lines", None, 0.95),
     ("distinct words", "distinct_words", 0.02, None),
+    ("stop words", "stop_words", None, 0.95),
+    ("words after themselves", "echo_words", None, 0.4),
 ]
 
 _PREFIX = "__quality_"
@@ -55,8 +59,8 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
 
 
-def _repeat_words(n: Column, hashes: Column) -> Column:
-    """Words covered by windows that occur twice or more."""
+def _repeats(hashes: Column) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """(hash, place) of all windows, sorted, where any two are equal; and the test that a neighbour is equal."""
     placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def repeated(x: Column, k: Column) -> Column:
@@ -82,6 +86,7 @@ def measured(documents: DataFrame) -> DataFrame:
             _PREFIX + "upper": F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0Da-z]*[A-Z][A-Z][^\x20\x09-\x0Da-z]*+(?![^\x20\x09-\x0D])")).cast("long"),
             _PREFIX + "marks": F.regexp_count(text, F.lit(r"[!?]{2}")).cast("long"),
             _PREFIX + "lettered": F.regexp_count(text, F.lit(r"(?:[^\x20\x09-\x0D\p{L}]*+)\p{L}[^\x20\x09-\x0D]*+")).cast("long"),
+            _PREFIX + "stops": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
             _PREFIX + "longest": F.coalesce(F.array_max(F.transform(words, lambda w: F.char_length(w))), F.lit(0)),
         }
     )
@@ -89,8 +94,9 @@ def measured(documents: DataFrame) -> DataFrame:
     windows = F.when(
         n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(wh, i + k) for k in range(WINDOW)]))
     ).otherwise(F.array().cast("array<bigint>"))
-    third = second.withColumn(_PREFIX + "windows", windows).withColumn(_PREFIX + "distinct", F.size(F.array_distinct(wh)))
-    placed, repeated = _repeat_words(n, _c("windows"))
+    echoes = F.filter(wh, lambda h, i: (i > 0) & (F.get(wh, i - 1) == h))
+    third = second.withColumn(_PREFIX + "windows", windows).withColumn(_PREFIX + "echoes", F.size(echoes)).withColumn(_PREFIX + "distinct", F.size(F.array_distinct(wh)))
+    placed, repeated = _repeats(_c("windows"))
     fourth = third.withColumn(_PREFIX + "sorted", placed)
     at = F.array_sort(F.transform(F.filter(_c("sorted"), repeated), lambda x: x["i"]))
     fifth = fourth.withColumn(_PREFIX + "at", at)
@@ -110,6 +116,8 @@ def measured(documents: DataFrame) -> DataFrame:
             _PREFIX + "marks_per_word": _c("marks") / words_,
             _PREFIX + "letter_words": _c("lettered") / words_,
             _PREFIX + "distinct_words": _c("distinct") / words_,
+            _PREFIX + "stop_words": _c("stops") / words_,
+            _PREFIX + "echo_words": _c("echoes") / words_,
             _PREFIX + "bullet_lines": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))) / F.greatest(F.size(lines), F.lit(1)),
         }
     ).withColumn(_PREFIX + "dup_line_share", _c("n_dup_lines") / F.greatest(F.size(lines), F.lit(1)))
