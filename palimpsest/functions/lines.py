@@ -81,7 +81,8 @@ def noise_line(text: Column, strictness: float) -> Column:
     n = F.char_length(t)
     compact = F.replace(t, F.lit(" "))
     size = F.char_length(compact)
-    # A character with more than half of all places also stands in the middle of them, sorted.
+    # A character with four fifths of all places, or more, has three together somewhere, which is
+    # cheap to see; and it stands in the middle of all characters, sorted.
     middle = F.get(F.array_sort(F.split(compact, "")), (size / 2).cast("int"))
     share = (size - F.char_length(F.replace(compact, middle))) / size
     return (
@@ -91,7 +92,7 @@ def noise_line(text: Column, strictness: float) -> Column:
         .when((n >= 3) & (count(t, PRIVATE_USE) / n >= 0.2 + 0.5 * strictness), True)
         .when((n >= 5) & (count(t, r"[\p{L}\p{N}]") / n < 0.12 + 0.48 * strictness), True)
         .when((n >= 4) & (symbol_ratio(t) > 0.55 + 0.35 * strictness), True)
-        .when((size >= 6) & (share >= 0.88 - 0.08 * strictness), True)
+        .when((size >= 6) & compact.rlike(r"(?s)(.)\1\1") & (share >= 0.88 - 0.08 * strictness), True)
         .otherwise(False)
     )
 

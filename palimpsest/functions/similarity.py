@@ -49,6 +49,10 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio_of(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
+# Not that it varies: the optimizer would copy a deterministic function into every filter on its result.
+ratio = ratio.asNondeterministic()
+
+
 def sorted_tokens(text: Column) -> Column:
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
     return F.array_join(F.array_sort(words), " ")
@@ -58,30 +62,32 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return ratio(sorted_tokens(a), sorted_tokens(b))
 
 
-def _tokens(text: Column) -> Column:
+def token_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")))
 
 
+def token_parts(x: Column, y: Column) -> dict[str, Column]:
+    """Of two sorted sets of tokens, joined: what they share, and what each has alone."""
+    joined = lambda c: F.array_join(c, " ")
+    return {"shared": joined(F.array_sort(F.array_intersect(x, y))), "own_x": joined(F.array_except(x, y)), "own_y": joined(F.array_except(y, x))}
+
+
+def token_set_of(empty: Column, shared: Column, own_x: Column, own_y: Column) -> Column:
+    """Best of three comparisons of the shared tokens and each side's own; the parts are best made columns before.
+
+    The joined strings share their beginning, so only the rest has to be compared.
+    """
+    n, x, y = F.char_length(shared), F.char_length(own_x), F.char_length(own_y)
+    lead = n + F.when((n > 0) & (x > 0) & (y > 0), 1).otherwise(0)
+    rest = ratio(own_x, own_y) * (x + y) / 200
+    both = 200 * (rest + lead) / F.greatest(2 * lead + x + y, F.lit(1))
+    alone = lambda m: F.when(n > 0, 200.0 * n / (n + lead + m)).otherwise(0.0)
+    return F.when(empty, 0.0).when((n > 0) & ((x == 0) | (y == 0)), 100.0).otherwise(F.greatest(both, alone(x), alone(y)))
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
-    """Best of three comparisons of the shared tokens and each side's own."""
-    x, y = _tokens(a), _tokens(b)
-    shared = F.array_join(F.array_sort(F.array_intersect(x, y)), " ")
-    own_x, own_y = F.array_join(F.array_except(x, y), " "), F.array_join(F.array_except(y, x), " ")
-    gap = F.when((shared != "") & (own_x != ""), 1).otherwise(0)
-    with_x = F.concat(shared, F.when(gap == 1, " ").otherwise(""), own_x)
-    gap_y = F.when((shared != "") & (own_y != ""), " ").otherwise("")
-    with_y = F.concat(shared, gap_y, own_y)
-    n, nx, ny = F.char_length(shared), F.char_length(with_x), F.char_length(with_y)
-    # The joined strings share their beginning, so only the rest has to be compared.
-    rest = ratio(own_x, own_y) * (F.char_length(own_x) + F.char_length(own_y)) / 200
-    lead = nx - F.char_length(own_x)
-    both = F.when(nx + ny > 0, 200 * (rest + F.least(lead, ny - F.char_length(own_y))) / (nx + ny)).otherwise(0.0)
-    alone = lambda m: F.when(n > 0, 200.0 * n / (n + m)).otherwise(0.0)
-    return (
-        F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0)
-        .when((shared != "") & ((own_x == "") | (own_y == "")), 100.0)
-        .otherwise(F.greatest(both, alone(nx), alone(ny)))
-    )
+    x, y = token_set(a), token_set(b)
+    return token_set_of((F.size(x) == 0) | (F.size(y) == 0), **token_parts(x, y))
 
 
 def text_similarity(a: Column, b: Column) -> Column:
@@ -89,22 +95,27 @@ def text_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(ratio(a, b), token_sort_ratio(a, b)) / 100)
 
 
-def alphanumeric_sets(a: Column, b: Column) -> tuple[Column, Column]:
-    find = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    return find(a), find(b)
+def alphanumeric_set(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+
+
+def jaccard_of(x: Column, y: Column) -> Column:
+    shared = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(shared / F.greatest(F.size(x) + F.size(y) - shared, F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    x, y = alphanumeric_sets(a, b)
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(
-        F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    )
+    return jaccard_of(alphanumeric_set(a), alphanumeric_set(b))
 
 
-def token_overlap(a: Column, b: Column) -> Column:
-    x, y = alphanumeric_sets(a, b)
+def overlap_of(x: Column, y: Column, set_ratio: Column) -> Column:
+    """Half the share of common alphanumeric tokens, half the token-set ratio; 1 for none on both sides, 0 for none on one."""
     empty = (F.size(x) == 0, F.size(y) == 0)
-    return F.when(empty[0] & empty[1], 1.0).when(empty[0] | empty[1], 0.0).otherwise(F.least(F.lit(1.0), 0.5 * jaccard(a, b) + token_set_ratio(a, b) / 200))
+    return F.when(empty[0] & empty[1], 1.0).when(empty[0] | empty[1], 0.0).otherwise(F.least(F.lit(1.0), 0.5 * jaccard_of(x, y) + set_ratio / 200))
+
+
+def token_overlap(a: Column, b: Column) -> Column:
+    return overlap_of(alphanumeric_set(a), alphanumeric_set(b), token_set_ratio(a, b))
 
 
 #: Kinds of values, the first that matches counts (fixed values).
@@ -125,5 +136,8 @@ def value_kind(text: Column) -> Column:
 
 
 def regex_compatibility(a: Column, b: Column) -> Column:
-    x, y = value_kind(a), value_kind(b)
+    return kinds_compatibility(value_kind(a), value_kind(b))
+
+
+def kinds_compatibility(x: Column, y: Column) -> Column:
     return F.when(x.isNull() & y.isNull(), 0.75).when(x.isNull() | y.isNull(), 0.5).when(x == y, 1.0).otherwise(0.35)

@@ -6,8 +6,6 @@ scored matching ``page_number``, ``normalized_label``, ``normalized_value``, ``l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,51 +14,65 @@ from palimpsest.config import CompareConfig
 from palimpsest.functions import normalize, similarity
 
 NAMES = ("label", "value", "normalized_label", "normalized_value")
+SIGNALS = ("labels_absent", "label_similarity", "value_similarity", "token_overlap", "regex_compatibility")
 
 
-def sides(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataFrame:
-    """Candidate pairs: an equi-join on the comparison, and on the page unless pages may differ."""
-    keys = ["pair_id"] if cfg.cross_page else ["pair_id", "page_number"]
-    pick = lambda df, p: df.select(*keys, F.col("ord").alias(f"{p}_ord"), *[F.coalesce(F.col(n), F.lit("")).alias(f"{p}_{n}") for n in NAMES])
-    return pick(source, "s").join(pick(target, "t"), keys)
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to the configured number of tasks, few bytes or not: scoring costs far more than moving."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def _own(side: str, kind: str) -> Column:
-    return F.trim(F.col(f"{side}_normalized_{kind}"))
+def _prepared(df: DataFrame, side: str, keys: list[str]) -> DataFrame:
+    """A side's columns, with all that depends on one record alone computed once a record."""
+    text = {n: F.trim(F.coalesce(F.col(n), F.lit(""))) for n in NAMES}
+    label, value = text["normalized_label"], text["normalized_value"]
+    joined = F.trim(F.concat_ws(" ", label, value))
+    tokens = F.when(joined != "", joined).otherwise(normalize.canonical_key(text["label"], text["value"]))
+    first = df.select(*keys, F.col("ord").alias("ord"), label.alias("label"), value.alias("value"), F.when(value != "", value).otherwise(text["value"]).alias("shown"), tokens.alias("tokens"))
+    made = {
+        "sorted_label": similarity.sorted_tokens(F.col("label")), "sorted_value": similarity.sorted_tokens(F.col("value")), "words": similarity.token_set(F.col("tokens")),
+        "alnum": similarity.alphanumeric_set(F.col("tokens")), "kind": similarity.value_kind(F.col("shown")),
+    }
+    own = first.withColumns(made)
+    return dealt(own, *keys).select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ("ord", "label", "value", *made)])
 
 
-def breakdown(pairs: DataFrame, cfg: CompareConfig) -> DataFrame:
-    """Pairs with the four signals and their weighted sum."""
-    la, lb, va, vb = _own("s", "label"), _own("t", "label"), _own("s", "value"), _own("t", "value")
-    tokens = {}
-    for side, label, value in (("s", la, va), ("t", lb, vb)):
-        joined = F.trim(F.concat_ws(" ", label, value))
-        tokens[side] = F.when(joined != "", joined).otherwise(normalize.canonical_key(F.col(f"{side}_label"), F.col(f"{side}_value")))
-    kind = lambda side, value: F.when(value != "", value).otherwise(F.col(f"{side}_value"))
-    bare = (la == "") & (lb == "")
-    rest = 1 - cfg.label_weight
-    weight = {n: F.when(bare, w / rest).otherwise(w) for n, w in (("value", cfg.value_weight), ("token", cfg.token_weight), ("regex", cfg.regex_weight))}
-    scored = pairs.withColumns(
+def _text_similarity(kind: str) -> Column:
+    a, b = F.col(f"s_{kind}"), F.col(f"t_{kind}")
+    better = F.greatest(similarity.ratio(a, b), similarity.ratio(F.col(f"s_sorted_{kind}"), F.col(f"t_sorted_{kind}"))) / 100
+    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(better)
+
+
+def breakdown(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataFrame:
+    """Pairs of one comparison, and of one page unless pages may differ, with the four signals and their weighted sum."""
+    keys = ["pair_id"] if cfg.cross_page else ["pair_id", "page_number"]
+    pairs = _prepared(source, "s", keys).join(_prepared(target, "t", keys), keys)
+    parts = pairs.withColumns(similarity.token_parts(F.col("s_words"), F.col("t_words")))
+    bare = (F.col("s_label") == "") & (F.col("t_label") == "")
+    none = (F.size("s_words") == 0) | (F.size("t_words") == 0)
+    scored = parts.withColumn("set_ratio", similarity.token_set_of(none, F.col("shared"), F.col("own_x"), F.col("own_y"))).withColumns(
         {
-            "label_similarity": F.when(bare, 1.0).otherwise(similarity.text_similarity(la, lb)),
-            "value_similarity": similarity.text_similarity(va, vb),
-            "token_overlap": similarity.token_overlap(tokens["s"], tokens["t"]),
-            "regex_compatibility": similarity.regex_compatibility(kind("s", va), kind("t", vb)),
             "labels_absent": bare,
+            "label_similarity": _text_similarity("label"),
+            "value_similarity": _text_similarity("value"),
+            "token_overlap": similarity.overlap_of(F.col("s_alnum"), F.col("t_alnum"), F.col("set_ratio")),
+            "regex_compatibility": similarity.kinds_compatibility(F.col("s_kind"), F.col("t_kind")),
         }
     )
+    rest = 1 - cfg.label_weight
+    weight = lambda w: F.when(F.col("labels_absent"), w / rest).otherwise(w)
     total = (
         F.when(F.col("labels_absent"), 0.0).otherwise(cfg.label_weight) * F.col("label_similarity")
-        + weight["value"] * F.col("value_similarity")
-        + weight["token"] * F.col("token_overlap")
-        + weight["regex"] * F.col("regex_compatibility")
+        + weight(cfg.value_weight) * F.col("value_similarity")
+        + weight(cfg.token_weight) * F.col("token_overlap")
+        + weight(cfg.regex_weight) * F.col("regex_compatibility")
     )
-    return scored.withColumn("composite", total)
+    return scored.select(*keys, "s_ord", "t_ord", *SIGNALS, total.alias("composite"))
 
 
 def candidates(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataFrame:
     """Scored pairs that may be linked."""
-    return breakdown(sides(source, target, cfg), cfg).filter(F.col("composite") >= cfg.min_pair_composite)
+    return breakdown(source, target, cfg).filter(F.col("composite") >= cfg.min_pair_composite)
 
 
 def best_links(n: int, m: int, edges: dict[tuple[int, int], float], least_one_short: bool) -> tuple[dict[int, int], dict[int, int] | None]:
@@ -192,7 +204,7 @@ def greedy_links(source: DataFrame, target: DataFrame, min_score: float, *, cut)
     rest_t = target.select("pair_id", F.col("ord").alias("t_ord"), F.col("normalized").alias("b")).join(equal.select("pair_id", "t_ord"), ["pair_id", "t_ord"], "left_anti")
     la, lb = F.char_length("a"), F.char_length("b")
     possible = 200 * F.least(la, lb) >= min_score * (la + lb)
-    edges = rest_s.join(rest_t, "pair_id").filter(possible).withColumn("score", similarity.ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= min_score)
+    edges = dealt(rest_s, "pair_id").join(dealt(rest_t, "pair_id"), "pair_id").filter(possible).withColumn("score", similarity.ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= min_score)
     return equal.unionByName(mutual_best(edges, cut=cut))
 
 
@@ -221,7 +233,3 @@ def sequential_links(source: DataFrame, target: DataFrame) -> DataFrame:
 def unmatched(records: DataFrame, links: DataFrame, side: str) -> DataFrame:
     """Records of a side without a link."""
     return records.join(links.select("pair_id", F.col(f"{side}_ord").alias("ord")), ["pair_id", "ord"], "left_anti")
-
-
-def rows_of(links: DataFrame) -> Iterator[tuple]:
-    return (tuple(r) for r in links.toLocalIterator())
