@@ -272,3 +272,28 @@ def clean(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
             yield part.filter(pa.array(~_shard(part.column(at), sent, False)["contaminated"]))
 
     return documents.mapInArrow(run, documents.schema)
+
+
+def oracle_sql(width: int = WIDTH) -> str:
+    """The digest in SQL: windows of every length from one word to the width, joined with the phrases of that length."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    found = " UNION ALL ".join(
+        f"""SELECT p.item_id, d.doc_id, d.i, {k} AS n FROM (
+  SELECT doc_id, i, string_agg(word, ' ') OVER f AS h, count(*) OVER f AS n FROM dw WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)
+) d JOIN p ON p.n = {k} AND d.n = {k} AND d.h = p.h"""
+        for k in range(1, width + 1)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+p AS (
+  SELECT DISTINCT item_id, array_to_string(w[i : i + least(len(w), {width}) - 1], ' ') AS h, least(len(w), {width}) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {width} + 1, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), f AS ({found}),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM f),
+n AS (SELECT doc_id, count(*) AS n_hit FROM hit GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM f GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""

@@ -161,3 +161,39 @@ def digest(documents: DataFrame) -> DataFrame:
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     made = measured(documents.select("doc_id", "text"))
     return made.select("doc_id", *[_c(b).alias(b) for b in base], base_failed().alias("base_failed"), (~base_failed() & verdict()).alias("kept"))
+
+
+def oracle_sql(table: list[tuple[str, str, float | None, float | None]] = TABLE) -> str:
+    """The digest in SQL, over one row a word."""
+    fails = " OR ".join(f"{m} {op} {bound!r}" for _, m, a, b in table for op, bound in (("<", a), (">", b)) if bound is not None)
+    stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (
+  SELECT *, string_agg(word, ' ') OVER f AS h, count(*) OVER f AS n, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM words
+  WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+), s AS (SELECT *, n = 5 AND count(*) OVER (PARTITION BY doc_id, h, n) > 1 AS starts FROM g),
+c AS (SELECT *, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM s),
+m AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (WHERE covered) AS n_repeat_words, max(length(word)) AS longest_word,
+         count(*) FILTER (WHERE regexp_matches(word, '[A-Z][A-Z]') AND NOT regexp_matches(word, '[a-z]')) AS uppers, count(*) FILTER (WHERE regexp_matches(word, '\p{{L}}')) AS letters,
+         count(DISTINCT word) AS kinds, count(*) FILTER (WHERE lower(word) IN ({stops})) AS stops, count(*) FILTER (WHERE word = before) AS echoes
+  FROM c GROUP BY doc_id
+), a AS (
+  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(longest_word, 0) AS longest_word,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, greatest(coalesce(n_words, 0), 1) AS one, greatest(len(l), 1) AS lines,
+         coalesce(uppers, 0) AS uppers, coalesce(letters, 0) AS letters, coalesce(kinds, 0) AS kinds, coalesce(stops, 0) AS stops, coalesce(echoes, 0) AS echoes,
+         len(regexp_extract_all(text, '[!?]{{2}}')) AS marks, len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS bullets
+  FROM d LEFT JOIN m ON d.doc_id = m.doc_id
+), r AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, word_chars / one AS mean_word_chars, n_symbols / one AS symbols_per_word, uppers / one AS upper_words,
+         marks / one AS marks_per_word, n_dup_lines / lines AS dup_line_share, letters / one AS letter_words, bullets / lines AS bullet_lines, kinds / one AS distinct_words, stops / one AS stop_words, echoes / one AS echo_words
+  FROM a
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({fails}) AS kept FROM r
+"""

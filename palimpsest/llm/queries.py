@@ -66,6 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_decontamination": decontamination.oracle_sql(),
+    "op7_quality_rules": quality.oracle_sql(),
     "op10_chat_formatting": chat.ORACLE_SQL,
 }

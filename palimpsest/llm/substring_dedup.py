@@ -325,3 +325,19 @@ def digest(documents: DataFrame, window: int = 35) -> DataFrame:
         )
 
     return repeated_windows(documents, window, finish, _RESULT)
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (
+  SELECT *, string_agg(word, ' ') OVER f AS h, count(*) OVER f AS n FROM words
+  WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), again AS (SELECT h FROM g WHERE n = 35 GROUP BY h HAVING count(*) > 1),
+m AS (SELECT g.doc_id, g.i, g.word, again.h IS NOT NULL AND g.n = 35 AS starts FROM g LEFT JOIN again ON g.h = again.h),
+c AS (SELECT *, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m)
+SELECT d.doc_id, count(c.i) AS n_words, count(*) FILTER (WHERE c.gone) AS n_removed,
+       sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.i) FILTER (WHERE NOT c.gone), '')) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id
+"""
