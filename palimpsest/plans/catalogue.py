@@ -114,11 +114,6 @@ def extra_rows(spark: SparkSession, sf: str) -> DataFrame:
     return target.join(source, ["l_orderkey", "l_linenumber"], "left_anti").select("l_orderkey", "l_linenumber")
 
 
-def _near(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    boxes = fixtures.boxes(fixtures.table(spark, sf, "embeddings"))
-    return boxes, boxes.select("id", "bbox")
-
-
 def bbox_iou(spark: SparkSession, sf: str) -> DataFrame:
     boxes = fixtures.boxes(fixtures.table(spark, sf, "embeddings"))
     pairs = spatial.neighbours(boxes, geometry.intersects, 9.0)
@@ -221,8 +216,8 @@ def grounding_ints(spark: SparkSession, sf: str) -> DataFrame:
 
 def stale_jobs(spark: SparkSession, sf: str) -> DataFrame:
     jobs = fixtures.table(spark, sf, "events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("modified"))
-    latest = jobs.agg(F.max("modified").alias("now"))
-    return validate.stale(jobs.crossJoin(F.broadcast(latest)), F.col("now")).select("job_id", F.col("age").cast("long").alias("age"))
+    latest = jobs.agg(F.max("modified")).first()[0]
+    return validate.stale(jobs, F.lit(latest).cast("timestamp")).select("job_id", F.col("age").cast("long").alias("age"))
 
 
 def fuzz_ratio(spark: SparkSession, sf: str) -> DataFrame:

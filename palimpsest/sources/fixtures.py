@@ -15,13 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan of few files would leave most of them idle; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def page_of(ln: Column) -> Column:
     return (F.floor(ln / LINES_PER_PAGE) + 1).cast("int")
 
 
 def lines(documents: DataFrame) -> DataFrame:
     """(pair_id, ord, page, text) of all lines that are not blank, whole."""
-    each = documents.select(F.col("doc_id").alias("pair_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("ord", "text"))
+    each = spread(documents.select("doc_id", "text")).select(F.col("doc_id").alias("pair_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("ord", "text"))
     return each.filter(stripped(F.col("text")) != "").select("pair_id", F.col("ord").cast("long").alias("ord"), page_of(F.col("ord")).alias("page"), "text")
 
 
