@@ -4,8 +4,7 @@ A value after a credential word is segmented at least cost into dictionary words
 repeats, character sequences, keyboard walks and brute-force spans. The cost of a segment is
 the logarithm of the guesses that it takes; a further segment adds the ways to order them. A
 value that takes ``LEAST_GUESSES`` or more is reported as kind ``guess``, unless it touches a
-base span. The program looks at ``REACH`` characters back for patterns, so it is linear in the
-length of a value.
+base span. Runs are measured once for a value, so the program is linear in its length.
 
 Scanning works on buffers: long runs of hexadecimal digits, and places of the credential
 words, are found for a whole slice at once, and only documents with one are read closer.
@@ -19,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from palimpsest.llm.words import buffers, slices
 
 KINDS = ("assign", "access", "hex", "guess")
-LEAST_GUESSES, REACH, SEGMENT_COST = 10.0, 32, 0.3
+LEAST_GUESSES, SEGMENT_COST = 10.0, 0.3
 SLICE_BYTES = 4 << 20
 
 #: Base patterns and their least lengths (fixed values).
@@ -62,54 +61,61 @@ def _alphabet(value: str) -> int:
     return max(10, sum(n for p, n in kinds if re.search(p, value)))
 
 
-def _starting(value: str, low: str, plain: str, a: int) -> Iterator[tuple[int, float]]:
-    """Ends of the pattern segments that start at a, with log10 of their guesses."""
-    n = len(value)
-    for b in range(a + 3, min(n, a + 14) + 1):
-        for text, more in ((low[a:b], 0.0), (plain[a:b], 0.6)):
-            if rank := RANK.get(text):
-                case = 0.0 if value[a:b] == low[a:b] else 0.5
-                yield b, math.log10(rank) + more + case
-                break
-    if m := _DATE.match(value, a):
-        yield m.end(), math.log10(365 * 60) if m.end() - a > 4 else 2.0
-    same = a + 1
-    while same < n and value[same] == value[a]:
-        same += 1
-    if same - a >= 3:
-        yield same, 1.0 + math.log10(same - a)
-    for unit in range(2, 9):  # repeats of a short unit
-        b = a + unit
-        while value.startswith(value[a : a + unit], b):
-            b += unit
-        if b >= a + 2 * unit and same - a < 3:
-            yield b, unit * math.log10(_alphabet(value[a : a + unit])) + math.log10((b - a) / unit)
-    for step in (1, -1):
-        b = a + 1
-        while b < n and ord(value[b]) - ord(value[b - 1]) == step and value[b].isalnum():
-            b += 1
-        if b - a >= 3:
-            yield b, 1.5 + math.log10(b - a)
-    b = a + 1
-    while b < n and (low[b - 1], low[b]) in _NEXT:
-        b += 1
-    if b - a >= 3:
-        yield b, 2.0 + math.log10(b - a)
+def _chain(n: int, joined: Callable[[int], bool], step: int = 1) -> list[int]:
+    """For each place, how many joins in a row start there; joined(i) is about places i and i + step."""
+    out = [0] * (n + step + 1)
+    for i in range(n - step - 1, -1, -1):
+        out[i] = out[i + 1] + 1 if joined(i) else 0
+    return out
+
+
+class Segments:
+    """Pattern segments of a value; runs are measured once, so that each start costs the same however long they are."""
+
+    def __init__(self, value: str) -> None:
+        self.value, self.low = value, value.lower()
+        self.plain = self.low.translate(_LEET)
+        n, low = len(value), self.low
+        self.same = _chain(n, lambda i: value[i] == value[i + 1])
+        self.steps = [_chain(n, lambda i, s=s: ord(value[i + 1]) - ord(value[i]) == s and value[i].isalnum() and value[i + 1].isalnum()) for s in (1, -1)]
+        self.walk = _chain(n, lambda i: (low[i], low[i + 1]) in _NEXT)
+        self.units = {u: _chain(n, lambda i, u=u: value[i] == value[i + u], u) for u in range(2, 9)}
+
+    def starting(self, a: int) -> Iterator[tuple[int, float]]:
+        """Ends of the segments that start at a, with log10 of their guesses."""
+        value, n = self.value, len(self.value)
+        for b in range(a + 3, min(n, a + 14) + 1):
+            for text, more in ((self.low[a:b], 0.0), (self.plain[a:b], 0.6)):
+                if rank := RANK.get(text):
+                    yield b, math.log10(rank) + more + (0.0 if value[a:b] == self.low[a:b] else 0.5)
+                    break
+        if m := _DATE.match(value, a):
+            yield m.end(), math.log10(365 * 60) if m.end() - a > 4 else 2.0
+        if self.same[a] >= 2:
+            yield a + self.same[a] + 1, 1.0 + math.log10(self.same[a] + 1)
+        else:
+            for u, joined in self.units.items():
+                if times := joined[a] // u:
+                    yield a + u * (times + 1), u * math.log10(_alphabet(value[a : a + u])) + math.log10(times + 1)
+        for steps in self.steps:
+            if steps[a] >= 2:
+                yield a + steps[a] + 1, 1.5 + math.log10(steps[a] + 1)
+        if self.walk[a] >= 2:
+            yield a + self.walk[a] + 1, 2.0 + math.log10(self.walk[a] + 1)
 
 
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation takes."""
     n = len(value)
     each = math.log10(_alphabet(value))
-    low = value.lower()
-    plain = low.translate(_LEET)
+    segments = Segments(value)
     best = [0.0] + [math.inf] * n
     brute = [math.inf] * (n + 1)  # the same, with a brute-force span last
     for a in range(n):
         here = best[a]
         brute[a + 1] = min(brute[a] + each, here + SEGMENT_COST + each)
         best[a + 1] = min(best[a + 1], brute[a + 1])
-        for b, cost in _starting(value, low, plain, a):
+        for b, cost in segments.starting(a):
             best[b] = min(best[b], here + SEGMENT_COST + cost)
     return best[n]
 

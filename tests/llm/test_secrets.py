@@ -1,9 +1,9 @@
 import hashlib
+import math
 import random
 import re
 
-from palimpsest.llm.secrets import _starting, _alphabet, SEGMENT_COST, guess_cost, scan_secrets
-import math
+from palimpsest.llm.secrets import SEGMENT_COST, Segments, _alphabet, guess_cost, scan_secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -33,16 +33,14 @@ def test_base_against_brute_force(spark):
 
 def every_segmentation(value):
     """The least cost over all segmentations, by recursion."""
-    low = value.lower()
-    from palimpsest.llm.secrets import _LEET
-
+    segments = Segments(value)
     each = math.log10(_alphabet(value))
     memo = {len(value): 0.0}
 
     def rest(a):
         if a not in memo:
             options = [(b - a) * each + SEGMENT_COST + rest(b) for b in range(a + 1, len(value) + 1)]
-            options += [c + SEGMENT_COST + rest(b) for b, c in _starting(value, low, low.translate(_LEET), a)]
+            options += [c + SEGMENT_COST + rest(b) for b, c in segments.starting(a)]
             memo[a] = min(options)
         return memo[a]
 
@@ -59,6 +57,10 @@ def test_costs():
     assert max(map(guess_cost, weak)) < 10 <= min(map(guess_cost, strong))
 
 
+def test_long_values_cost_little_time():
+    assert guess_cost("a" * 100_000) < 10 and guess_cost("abab" * 20_000) < 10 and guess_cost("xq7" + "Z9k!" * 9 + "0" * 50_000) > 10
+
+
 def test_guessed_values(spark):
     rows = [(1, "The password is x9$Kq2!vLm7Z, keep it."), (2, "password: password123"), (3, "the token was lost"), (4, "passwort ist tR7!pLq9ZxW2v"), (5, "é password=abc"), (6, "passphrases are words of the language")]
     got = {r.doc_id: r.spans for r in scan_secrets(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, spans int")).collect()}
