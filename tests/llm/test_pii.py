@@ -41,7 +41,7 @@ def brute(text):
 def corpus(seed):
     r = random.Random(seed)
     parts = ["é", " ", "a.b", "@", "x-y.org", ".", "_", "a@b.c_d@e.f", "1.2.3.4", "256.1.1.1", "0001.2.3.0255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+", "12", "-", "漢", "\n", "(", "9" * 25, "+49.30.123", "1.2.3.4.5.6.7.8.9"]
-    return [(i, "".join(r.choice(parts) for _ in range(r.randrange(25)))) for i in range(300)] + [(900, None), (901, ""), (902, "1" * 9000 + "x@" * 500), (903, "7-" * 9000)]
+    return [(i, "".join(r.choice(parts) for _ in range(r.randrange(25)))) for i in range(300)] + [(900, None), (901, ""), (902, "1" * 9000 + "x@" * 500), (903, "7-" * 9000), (904, "8" * 12_000), (905, "a@" + "b.c" * 20_000), (906, "+1" + "(" * 90_000), (907, "a." * 4_000)]
 
 
 def test_base_against_brute_force(spark):
