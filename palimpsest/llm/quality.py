@@ -85,7 +85,7 @@ def measured(documents: DataFrame) -> DataFrame:
             _PREFIX + "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + F.char_length(w)),
             _PREFIX + "upper": F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0Da-z]*[A-Z][A-Z][^\x20\x09-\x0Da-z]*+(?![^\x20\x09-\x0D])")).cast("long"),
             _PREFIX + "marks": F.regexp_count(text, F.lit(r"[!?]{2}")).cast("long"),
-            _PREFIX + "lettered": F.regexp_count(text, F.lit(r"(?:[^\x20\x09-\x0D\p{L}]*+)\p{L}[^\x20\x09-\x0D]*+")).cast("long"),
+            _PREFIX + "lettered": F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+")).cast("long"),
             _PREFIX + "stops": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))),
             _PREFIX + "longest": F.coalesce(F.array_max(F.transform(words, lambda w: F.char_length(w))), F.lit(0)),
         }

@@ -22,7 +22,7 @@ def corpus(seed):
     r = random.Random(seed)
     vocabulary = ["a", "b", "É", "x#y", "<b>", "漢字", "\x85", "end."]
     texts = ["".join(r.choice(vocabulary) + r.choice([" ", "\n", "\t", " \n"]) for _ in range(r.choice([0, 3, 9, 30, 200]))) for _ in range(60)]
-    texts += [None, "", " \n ", "\n\na\na\n", "one two three four five six seven eight nine ten", "a " * 500]
+    texts += [None, "", " \n ", "\n\na\na\n", "one two three four five six seven eight nine ten", "a " * 500, "7" * 60_000, "Z" * 60_000, "#" * 60_000]
     return list(enumerate(texts))
 
 
