@@ -16,8 +16,10 @@ Search over the distinct fingerprints:
 * Verify: a bucket compares its fingerprints and reports only a star of each group it links.
 
 A bucket of more than ``BUCKET`` fingerprints is split again by the plain pigeonhole over the
-bits that it has not fixed, until it fits: with 12 free bits no bucket of distinct fingerprints
-is larger. So no bucket has a cap and none is compared whole in one task. Components come from
+bits on which its fingerprints may differ, until it fits: with 12 such bits no bucket of distinct
+fingerprints is larger. Fingerprints in the bucket of a near value may differ in all bits; what
+that bucket was stays part of the key (``of``). So no bucket has a cap and none is compared whole
+in one task. Components come from
 alternating large and small stars over the reported links, in rounds that end in checkpoint().
 
 Cases: null and empty texts have fingerprint zero, which links like any other; texts of one or
@@ -177,6 +179,10 @@ def _flips(bits: list[int], t: int) -> list[int]:
     return sorted(out)
 
 
+#: A bucket: the bits on which all its fingerprints agree and their value there, and of which near value it is (0: none).
+KEY = ["mask", "value", "of"]
+
+
 def probes(distinct: DataFrame, parts: list[list[int]], chosen: list[int]) -> DataFrame:
     keys = []
     for bits, t in zip(parts, chosen):
@@ -184,8 +190,12 @@ def probes(distinct: DataFrame, parts: list[list[int]], chosen: list[int]) -> Da
             continue
         mask = signed(mask_of(bits))
         value = F.col("fingerprint").bitwiseAND(F.lit(mask))
-        keys += [F.struct(F.lit(mask).alias("mask"), value.bitwiseXOR(F.lit(signed(x))).alias("value")) for x in _flips(bits, t)]
-    return distinct.select("rep", "fingerprint", F.explode(F.array(*keys)).alias("key")).select("key.mask", "key.value", "rep", "fingerprint")
+        if t == 0:
+            keys.append(F.struct(F.lit(mask).alias("mask"), value.alias("value"), F.lit(0).cast("long").alias("of")))
+            continue
+        none = F.lit(0).cast("long")
+        keys += [F.struct(none.alias("mask"), none.alias("value"), F.xxhash64(F.lit(mask), value.bitwiseXOR(F.lit(signed(x)))).alias("of")) for x in _flips(bits, t)]
+    return distinct.select("rep", "fingerprint", F.explode(F.array(*keys)).alias("key")).select("key.*", "rep", "fingerprint")
 
 
 def _fits(mask: int) -> bool:
@@ -237,9 +247,10 @@ def verify(rows: DataFrame, distance: int) -> DataFrame:
     """Stars of links in each bucket; the rows of a bucket stand together, at most BUCKET of them."""
 
     def emit(held: pa.Table) -> Iterator[pa.RecordBatch]:
-        mask, value = held["mask"].to_numpy(), held["value"].to_numpy()
-        new = np.ones(len(mask), bool)
-        new[1:] = (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])
+        new = np.zeros(len(held), bool)
+        new[0] = True
+        for column in (held[k].to_numpy() for k in KEY):
+            new[1:] |= column[1:] != column[:-1]
         a, b = stars(np.cumsum(new), held["rep"].to_numpy(), held["fingerprint"].to_numpy().view(U), distance)
         if len(a):
             yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
@@ -251,8 +262,8 @@ def verify(rows: DataFrame, distance: int) -> DataFrame:
                 continue
             both = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, both]).combine_chunks() if held is not None else both
-            mask, value = held["mask"].to_numpy(), held["value"].to_numpy()
-            other = np.flatnonzero((mask != mask[-1]) | (value != value[-1]))
+            columns = [held[k].to_numpy() for k in KEY]
+            other = np.flatnonzero(np.any([c != c[-1] for c in columns], axis=0))
             if len(other):  # the last bucket may go on
                 cut = int(other[-1]) + 1
                 yield from emit(held.slice(0, cut))
@@ -260,7 +271,7 @@ def verify(rows: DataFrame, distance: int) -> DataFrame:
         if held is not None:
             yield from emit(held)
 
-    ordered = rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "fingerprint")
+    ordered = rows.repartition(*KEY).sortWithinPartitions(*KEY, "fingerprint")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -271,14 +282,14 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, buc
     rows = probes(distinct, groups, thresholds(distinct, n, both, groups, distance))
     found = None
     while True:
-        large = checkpointed(rows.groupBy("mask", "value").count().filter(F.col("count") > bucket).drop("count"))
+        large = checkpointed(rows.groupBy(*KEY).count().filter(F.col("count") > bucket).drop("count"))
         masks = [r.mask for r in large.select("mask").distinct().collect()]
-        own = verify(rows.join(large, ["mask", "value"], "left_anti") if masks else rows, distance)
+        own = verify(rows.join(large, KEY, "left_anti") if masks else rows, distance)
         found = own if found is None else found.unionByName(own)
         if not masks:
             return found
         done = [m for m in masks if _fits(m)]
-        rest = rows.join(large, ["mask", "value"], "left_semi").distinct()
+        rest = rows.join(large, KEY, "left_semi").distinct()
         if done:  # all their fingerprints differ in 12 bits at most
             found = found.unionByName(verify(rest.filter(F.col("mask").isin(done)), distance))
             rest = rest.filter(~F.col("mask").isin(done))
@@ -287,9 +298,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, buc
             return found
         keys = None
         for mask in masks:
-            finer = F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("value")) for m in _split_masks(mask, distance)])
+            finer = F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("value"), F.col("of").alias("of")) for m in _split_masks(mask, distance)])
             keys = F.when(F.col("mask") == mask, finer) if keys is None else keys.when(F.col("mask") == mask, finer)
-        rows = checkpointed(rest.select("rep", "fingerprint", F.explode(keys).alias("key")).select("key.mask", "key.value", "rep", "fingerprint").distinct())
+        rows = checkpointed(rest.select("rep", "fingerprint", F.explode(keys).alias("key")).select("key.*", "rep", "fingerprint").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -79,6 +79,21 @@ def test_dense_groups(spark, bucket):
     assert named == groups(values)
 
 
+@pytest.mark.parametrize("chosen", [[-1, 1, 0, 0], [-1, 2, -1, 0], [3, -1, -1, -1]])
+def test_split_of_near_values(spark, monkeypatch, chosen):
+    """Isolated pairs that differ inside a partition of threshold 1 or more, in buckets that have to be split."""
+    monkeypatch.setattr(simhash, "group_bits", lambda *_: [list(range(k, k + 16)) for k in (0, 16, 32, 48)])
+    monkeypatch.setattr(simhash, "thresholds", lambda *_: chosen)
+    r, values = random.Random(6), []
+    for a in [(16, 32, 48), (0, 16, 32), (16, 17, 48), (0, 1, 2), (0, 16, 48)]:
+        x = r.getrandbits(64)
+        values += [x, x ^ sum(1 << b + 5 for b in a)]
+    values = {k: v for k, v in enumerate(values)}
+    distinct = spark.createDataFrame([(k, simhash.signed(v)) for k, v in values.items()], "rep long, fingerprint long")
+    found = components(links(written(distinct, "test"), 3, bucket=1))
+    assert {k: k for k in values} | {x.node: x.component for x in found.collect()} == groups(values)
+
+
 def test_allocation_is_best():
     from itertools import product
 
