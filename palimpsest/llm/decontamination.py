@@ -160,7 +160,7 @@ def occurrences(words: np.ndarray, first: np.ndarray, phrases: Phrases) -> Itera
         pair = code[both] * phrases.sigma + code[both + 1]
         at = np.minimum(np.searchsorted(phrases.pairs, pair), len(phrases.pairs) - 1)
         linked[both[phrases.pairs[at] == pair]] = True
-    linked[np.maximum(first[1:] - 1, 0)] = False
+    linked[first[1:][first[1:] > 0] - 1] = False  # documents without words may come first
     begins = np.flatnonzero((code > 0) & ~np.concatenate([[False], linked[:-1]]))
     ends = np.flatnonzero((code > 0) & ~linked) + 1
     long = ends - begins >= phrases.shortest

@@ -67,6 +67,18 @@ def test_spans(spark):
     assert (row.n_hit, row["items"], [tuple(x) for x in row.spans]) == (6, ["7", "8"], [(1, 7)])
 
 
+def test_documents_without_words_come_first(spark):
+    item, short = " ".join(f"w{i}" for i in range(13)), "v0 v1"
+    items = [(1, item), (2, short)]
+    for before in ([None], [""], ["-- ."], [None, "", "..."]):
+        for own in (item, short, item + " and more", short + " v0 v1"):
+            docs = [*enumerate(before), (9, own), (10, item)]
+            d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+            b = spark.createDataFrame(items, "item_id long, text string")
+            assert sorted(map(tuple, digest(d, b).collect())) == brute(docs, items, 13)
+            assert {r.doc_id for r in clean(d, b).collect()} == {k for k, _ in enumerate(before)}
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
