@@ -6,6 +6,8 @@ scored matching ``page_number``, ``normalized_label``, ``normalized_value``, ``l
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,26 +210,60 @@ def greedy_links(source: DataFrame, target: DataFrame, min_score: float, *, cut)
     return equal.unionByName(mutual_best(edges, cut=cut))
 
 
+def take_in_order(sources: list[str], targets: list[str]) -> list[tuple[int, int, float]]:
+    """Places of links, and scores: each source in order takes the best free target, the first of equals.
+
+    Equal texts alone score 100, so the first free one is taken unscored. Other targets stand as
+    distinct texts by length; those whose length allows no better score than the best are not scored.
+    """
+    free: dict[str, deque[int]] = {}
+    for j, text in enumerate(targets):
+        free.setdefault(text, deque()).append(j)
+    by_length: dict[int, dict[str, None]] = {}
+    for text in free:
+        by_length.setdefault(len(text), {})[text] = None
+    out, left = [], len(targets)
+    for i, own in enumerate(sources):
+        if not left:
+            break
+        if own in free:
+            score, text = 100.0, own
+        else:
+            bound = lambda n: 200.0 * min(len(own), n) / (len(own) + n)
+            best: tuple[float, int, str] | None = None
+            for n in sorted(by_length, key=bound, reverse=True):
+                if best is not None and bound(n) < -best[0]:
+                    break
+                for other in by_length[n]:
+                    found = (-similarity.ratio_of(own, other), free[other][0], other)
+                    if best is None or found < best:
+                        best = found
+            score, text = -best[0], best[2]
+        out.append((i, free[text].popleft(), score))
+        left -= 1
+        if not free[text]:
+            del free[text], by_length[len(text)][text]
+            if not by_length[len(text)]:
+                del by_length[len(text)]
+    return out
+
+
 def sequential_links(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Each source record in order takes the best free target by token-sorted ratio; the first wins ties, and there is no least score."""
-    pairs = source.select("pair_id", F.col("ord").alias("s_ord"), similarity.sorted_tokens(F.col("key")).alias("a")).join(
-        target.select("pair_id", F.col("ord").alias("t_ord"), similarity.sorted_tokens(F.col("key")).alias("b")), "pair_id"
-    )
+    """Each source record in order takes the best free target by token-sorted ratio; the first wins ties, and there is no least score.
+
+    A comparison is one task's: it holds both sides' keys, and no pairs of them.
+    """
     kind = source.schema["pair_id"].dataType.simpleString()
 
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out: list[tuple[int, int, float]] = []
-        for s, own in group.sort_values(["s_ord", "t_ord"]).groupby("s_ord", sort=True):
-            free = own[~own.t_ord.isin(used)]
-            if len(free):
-                i = free.score.idxmax()
-                used.add(int(free.t_ord[i]))
-                out.append((int(s), int(free.t_ord[i]), float(free.score[i])))
-        return pd.DataFrame({"pair_id": group.pair_id.iloc[0], "s_ord": [x[0] for x in out], "t_ord": [x[1] for x in out], "score": [x[2] for x in out]})
-
-    scored = pairs.withColumn("score", similarity.ratio(F.col("a"), F.col("b"))).drop("a", "b")
-    return scored.groupBy("pair_id").applyInPandas(take, f"pair_id {kind}, s_ord long, t_ord long, score double")
+    def take(s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        s, t = s.sort_values("ord"), t.sort_values("ord")
+        links = take_in_order(s.key.fillna("").tolist(), t.key.fillna("").tolist()) if len(s) and len(t) else []
+        i, j = [x[0] for x in links], [x[1] for x in links]
+        pair = s.pair_id.iloc[0] if len(s) else t.pair_id.iloc[0]
+        return pd.DataFrame({"pair_id": pair, "s_ord": s.ord.to_numpy()[i] if i else [], "t_ord": t.ord.to_numpy()[j] if j else [], "score": [x[2] for x in links]})
+
+    sides = [dealt(df.select("pair_id", "ord", similarity.sorted_tokens(F.col("key")).alias("key")), "pair_id").groupBy("pair_id") for df in (source, target)]
+    return sides[0].cogroup(sides[1]).applyInPandas(take, f"pair_id {kind}, s_ord long, t_ord long, score double")
 
 
 def unmatched(records: DataFrame, links: DataFrame, side: str) -> DataFrame:

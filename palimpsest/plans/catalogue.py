@@ -282,7 +282,7 @@ def noise_bullets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def legacy_align(spark: SparkSession, sf: str) -> DataFrame:
-    source, target = (x.withColumn("key", F.col("normalized_value")).withColumn("pair_id", F.concat_ws(":", "pair_id", "page_number")) for x in _fields(spark, sf))
+    source, target = (x.withColumn("key", F.col("normalized_value")) for x in _fields(spark, sf))
     return matching.sequential_links(source, target).select("pair_id", "s_ord", "t_ord", _scaled(F.col("score")).alias("score"))
 
 

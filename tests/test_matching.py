@@ -114,6 +114,42 @@ def test_sequential_links(spark):
     assert sorted((r.s_ord, r.t_ord) for r in matching.sequential_links(a, b).collect()) == [(0, 0), (1, 1)]
 
 
+def test_take_in_order_is_the_plain_loop():
+    from palimpsest.functions.similarity import ratio_of
+
+    r = random.Random(7)
+    for _ in range(300):
+        a, b = (["".join(r.choice("abc ") for _ in range(r.randrange(7))) for _ in range(r.randrange(9))] for _ in range(2))
+        used, expected = set(), []
+        for i, x in enumerate(a):
+            scores = [(-ratio_of(x, y), j) for j, y in enumerate(b) if j not in used]
+            if scores:
+                w, j = min(scores)
+                used.add(j)
+                expected.append((i, j, -w))
+        assert matching.take_in_order(a, b) == expected
+
+
+def test_legacy_align_passes_pages(spark, tmp_path):
+    from palimpsest.plans import catalogue
+
+    # Of 24 lines on three pages, those with (31 + 17 * ord) % 10 == 0 go and new ones come in the revision.
+    text = "\n".join(["twin line"] + [f"line {i} {'abcdefghijklmnopqrstuvwxyz'[i] * 9}" for i in range(1, 24)])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.s_ord: r.t_ord for r in catalogue.legacy_align(spark, str(tmp_path)).collect()}
+    source, target = (x.orderBy("ord").collect() for x in catalogue._fields(spark, str(tmp_path)))
+    from palimpsest.functions.similarity import ratio_of
+
+    tokens, used, expected = lambda x: " ".join(sorted(x.normalized_value.split())), set(), {}
+    for x in source:
+        scores = [(-ratio_of(tokens(x), tokens(y)), y.ord) for y in target if y.ord not in used]
+        if scores:
+            expected[x.ord] = min(scores)[1]
+            used.add(expected[x.ord])
+    page = {("s", x.ord): x.page_number for x in source} | {("t", x.ord): x.page_number for x in target}
+    assert got == expected and any(page["s", s] != page["t", t] for s, t in got.items())
+
+
 def test_pages_gate_and_rows(spark):
     cfg = CompareConfig.service()
     a, b = fields(spark, [(1, 0, 1, "DIM 12 x 24", ""), (1, 1, 1, "DIM 6 x 8", ""), (2, 0, 1, "same", "")]), fields(spark, [(1, 0, 1, "DIM 6 x 8", ""), (1, 1, 1, "DIM 12 x 24", ""), (2, 0, 2, "same", "")])
