@@ -132,7 +132,8 @@ def _runs_of_hex(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield x, y
 
 
-_MARKS = [w.encode() for w in dict.fromkeys([*(c[:4] if c.startswith("pass") else c for c in CUES), "apikey", "api_key", "secret", "token"])]
+#: Beginnings in ASCII, since bytes are lower-cased as ASCII only; and the letters that _CUE takes for i, s or k.
+_MARKS = [w.encode() for w in dict.fromkeys([*("pass" if c.startswith("pass") else re.match("[ -~]+", c)[0] for c in CUES), "apikey", "api_key", "secret", "token", *"\u0130\u0131\u017f\u212a"])]
 
 
 def _documents_with(low: bytes, marks: list[bytes], at: np.ndarray) -> set[int]:

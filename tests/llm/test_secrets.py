@@ -67,5 +67,11 @@ def test_guessed_values(spark):
     assert got[1] == "guess:16:28" and got[4] == "guess:13:26" and not (got[2] or got[3] or got[5] or got[6])
 
 
+def test_cues_in_letters_beyond_ascii(spark):
+    rows = [(k, f"{cue}: tR7!pLq9ZxW2v") for k, cue in enumerate(["CONTRASEÑA", "Contraseña", "PA\u017f\u017fWORD", "to\u212aen", "ap\u0131key"])]
+    got = {r.doc_id: r.spans for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: f"guess:{len(text) - 13}:{len(text)}" for k, text in rows}
+
+
 def test_empty(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
