@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from palimpsest.llm.words import WORD_LIKE, buffers, hashes, scan, slices
 
 WIDTH = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_WORDS = 1_000_000
 SAMPLE = 8
 

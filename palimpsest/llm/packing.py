@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.words import LOWER_BYTE, buffers, hashes, scan, slices
+from palimpsest.llm.words import LOWER_BYTE, buffers, hashes, same_bytes, scan, slices
 
 LENGTH = 2048
 END_TOKEN = 1
@@ -42,8 +42,9 @@ BLOCK = 1 << 18
 SENTENCE_PENALTY, HARD_PENALTY = 1, 24
 #: Sentences of more tokens than this get hard cuts, so many tokens apart.
 LONG, STEP = 96, 16
-SLICE_BYTES = 4 << 20
-CACHED = 200_000
+SLICE_BYTES = 512 << 10
+#: Bytes of pieces and ids that one generation of the cache holds.
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 200
 
 #: Only these bytes separate chunks here; any other white space is left to the tokenizer.
 _UNBROKEN = np.ones(256, bool)
@@ -108,6 +109,7 @@ class Words:
         self.characters = dict(enumerate(byte_characters()))
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
         ends = [i for t, i in self.tokenizer.get_vocab().items() if (s := t.removesuffix("</w>")) and not s.strip(".!?") and t.endswith("</w>")]
         self.sentence_end = np.zeros(max(self.tokenizer.get_vocab_size(), END_TOKEN + 1) + 1, bool)
         self.sentence_end[ends] = True
@@ -120,12 +122,21 @@ class Words:
             ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
-    def found(self, piece: bytes, plain: bool) -> bytes:
-        ids = self.new.get(piece)
-        if ids is None:
-            ids = self.old.get(piece)
-            self.new[piece] = ids = self.encoded(piece, plain) if ids is None else ids
-        return ids
+    def found(self, pieces: list[bytes], plain: list[bool]) -> list[bytes]:
+        """Ids of each piece, from the cache where it holds them."""
+        own = list(map(self.new.get, pieces))
+        for i, ids in enumerate(own):
+            if ids is None:
+                piece = pieces[i]
+                ids = self.old.get(piece)
+                own[i] = ids = self.encoded(piece, plain[i]) if ids is None else ids
+                size = ENTRY_BYTES + len(piece) + len(ids)
+                if size <= CACHE_BYTES >> 6:
+                    if self.held + size > CACHE_BYTES:
+                        self.old, self.new, self.held = self.new, {}, 0
+                    self.new[piece] = ids
+                    self.held += size
+        return own
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in a run, and the offset of each row."""
@@ -134,10 +145,11 @@ class Words:
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         starts, ends, plain, read = pieces(raw, at)
         _, index, inverse = np.unique(hashes(read, starts, ends), return_index=True, return_inverse=True)
-        if len(self.new) > CACHED:
-            self.old, self.new = self.new, {}
-        text, found = read.tobytes(), self.found
-        own = [found(text[a:b], p) for a, b, p in zip(starts[index].tolist(), ends[index].tolist(), plain[index].tolist())]
+        unlike = np.flatnonzero(~(same_bytes(read, starts, ends, index[inverse]) & (plain == plain[index[inverse]])))
+        inverse[unlike] = len(index) + np.arange(len(unlike))
+        index = np.concatenate([index, unlike])
+        text = read.tobytes()
+        own = self.found([text[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist())], plain[index].tolist())
         lengths = np.fromiter(map(len, own), np.int64, len(own)) >> 2
         flat = np.frombuffer(b"".join(own), np.uint32)
         begins = np.cumsum(lengths) - lengths

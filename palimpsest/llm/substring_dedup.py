@@ -41,7 +41,7 @@ from palimpsest.llm.shared import checkpointed, scratch_path, shuffle_partitions
 from palimpsest.llm.words import NOT_SPACE, Spans, U, buffers, hashes, mix, scan, slices
 
 ROUNDS = 6
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -100,7 +100,7 @@ class Chunk:
         symbols = np.empty(size, U)
         symbols[~barrier] = hashes(raw, starts, ends)
         symbols[barrier] = mix(np.arange(rows + 1, dtype=U) + U(0xB5))
-        spans = Spans(symbols)
+        spans = Spans(symbols, window)
         valid = np.zeros(size + 1, np.int64)
         fits = self.n_words >= window
         np.add.at(valid, self.place[fits], 1)

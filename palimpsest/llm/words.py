@@ -1,8 +1,7 @@
 """Vectorised word scanning over the UTF-8 buffers of Arrow columns.
 
 Every function works on whole buffers with NumPy, so a batch costs some nanoseconds a byte and
-no Python object a word. Word hashes are 64-bit polynomial fingerprints over a table of random
-byte values, finished by an avalanche step.
+no Python object a word.
 """
 
 from __future__ import annotations
@@ -11,9 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-MASK = (1 << 64) - 1
 K_BYTE = 0x9E3779B97F4A7C15
 K_WORD = 0xD1342543DE82EF95
 
@@ -35,26 +34,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(33))
 
 
-class Powers:
-    """Powers of an odd constant modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(0, U)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            with np.errstate(over="ignore"):
-                for name, b in (("up", self.base), ("down", self.inverse)):
-                    steps = np.full(size, b, U)
-                    steps[0] = 1
-                    setattr(self, name, np.cumprod(steps, dtype=U))
-        return self.up[:n], self.down[:n]
-
-
-BYTE_POWERS, WORD_POWERS = Powers(K_BYTE), Powers(K_WORD)
-_VALUES = splitmix(256, 7)
+#: Words of more bytes than this are hashed one by one, by XXH64.
+LONG_WORD = 256
+#: The first n of eight bytes, n from 0 to 8.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 #: Words are runs of bytes outside [\x20\x09-\x0D].
 NOT_SPACE = np.ones(256, bool)
@@ -113,25 +96,76 @@ def scan(raw: np.ndarray, at: np.ndarray, wordlike: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, at)
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, zeros after the last, without a copy for each."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word, equal for equal words wherever they stand."""
-    up, down = BYTE_POWERS(len(raw) + 1)
-    values = _VALUES[LOWER_BYTE] if lower else _VALUES
+    """A 64-bit hash of each word, equal for equal words wherever they stand.
+
+    Eight bytes at a time go through an avalanche step, which no sum or difference of
+    neighbouring bytes cancels; only as many rounds run as the longest short word has.
+    """
+    if lower:
+        raw = LOWER_BYTE[raw]
+    sizes = ends - starts
+    eights = _eights(raw)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, U)
-        np.cumsum(values[raw] * up[: len(raw)], dtype=U, out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+        out = sizes.astype(U) * U(K_BYTE)
+        live = np.flatnonzero(sizes <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            live = live[sizes[live] > at]
+            if not len(live):
+                break
+            block = eights[starts[live] + at] & _FIRST_BYTES[np.minimum(sizes[live] - at, 8)]
+            out[live] = mix(out[live] * U(K_WORD) + block)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), K_BYTE)
+    return out
+
+
+def same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each word equals, byte by byte, the word whose number is given for it."""
+    sizes, eights = ends - starts, _eights(raw)
+    same = sizes == sizes[others]
+    live = np.flatnonzero(same & (sizes <= LONG_WORD) & (others != np.arange(len(others))))
+    for at in range(0, LONG_WORD, 8):
+        live = live[sizes[live] > at]
+        if not len(live):
+            break
+        unlike = (eights[starts[live] + at] ^ eights[starts[others[live]] + at]) & _FIRST_BYTES[np.minimum(sizes[live] - at, 8)]
+        same[live[unlike != 0]] = False
+    for i in np.flatnonzero(same & (sizes > LONG_WORD)).tolist():
+        j = int(others[i])
+        same[i] = bool((raw[starts[i] : ends[i]] == raw[starts[j] : ends[j]]).all())
+    return same
 
 
 class Spans:
-    """Fingerprints of runs of words, by prefix sums."""
+    """Fingerprints of runs of at most ``longest`` symbols.
+
+    Runs of 1, 2, 4, ... symbols are named by an avalanche step over the names of their halves;
+    a run of any length is told by the two runs of a power of two that begin and end it.
+    """
 
-    def __init__(self, symbols: np.ndarray) -> None:
-        up, self.down = WORD_POWERS(len(symbols) + 1)
+    def __init__(self, symbols: np.ndarray, longest: int) -> None:
+        levels, width = [symbols], 1
         with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(symbols) + 1, U)
-            np.cumsum(symbols * up[: len(symbols)], dtype=U, out=self.sums[1:])
+            while 2 * width <= longest:
+                halves = levels[-1]
+                whole = halves.copy()
+                if len(halves) > width:
+                    whole[:-width] = mix(halves[:-width] * U(K_WORD) + halves[width:])
+                levels.append(whole)
+                width *= 2
+        self.names = np.stack(levels)
+        self.level = np.array([0, *(n.bit_length() - 1 for n in range(1, longest + 1))])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        level = self.level[size]
         with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U) * U(K_BYTE))
+            return mix(mix(self.names[level, start] + size.astype(U) * U(K_BYTE)) * U(K_WORD) + self.names[level, end - (1 << level)])
