@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df from a checkpoint in ``spark.checkpoint.dir``; a local folder only where that is unset."""
+    """The rows of df from a checkpoint in ``spark.checkpoint.dir``.
+
+    Only a session in one process gets a local folder where that is unset; a cluster must name one that it shares.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="palimpsest-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="palimpsest-"))
     return df.checkpoint()
