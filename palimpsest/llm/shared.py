@@ -6,12 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that the cluster shares: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) is a local folder made and set.
+    Only a session in one process (tests, a laptop) gets a local folder where that is unset;
+    elsewhere each machine would write to a disk of its own, so that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -19,6 +21,8 @@ def scratch_root(spark: SparkSession) -> str:
         found = sc._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not sc.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(root)
@@ -37,6 +41,63 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys of more than one in so many rows are hot: there are fewer of them than this, whatever the table.
+SHARE = 4096
+
+
+def split_join(rows: DataFrame, named: DataFrame, key: list[str], weight: str, share: int = SHARE) -> DataFrame:
+    """Inner join of rows with the unique keys of ``named``, whose column ``weight`` says how many rows have the key.
+
+    Hot keys are broadcast, since their number has a bound, and their rows stay where they are.
+    The others are shuffled; none has more than one in ``share`` of the rows. Both tables are
+    read twice, so they should be written ones.
+    """
+    most = (named.agg(F.sum(weight)).first()[0] or 0) // share
+    hot = F.broadcast(named.filter(F.col(weight) > most))
+    often = rows.join(hot, key)
+    seldom = rows.join(hot.select(*key), key, "left_anti").join(named.filter(F.col(weight) <= most), key)
+    return often.unionByName(seldom)
+
+
+class SortedBuckets:
+    """Tables in the shared folder that are bucketed and sorted by a key, all with one number of buckets.
+
+    Written from rows that a shuffle dealt by that key, each bucket is one sorted file, and joins
+    between such tables neither shuffle nor sort them.
+    """
+
+    ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+    def __init__(self, spark: SparkSession, key: list[str]) -> None:
+        self.spark, self.key, self.n = spark, key, shuffle_partitions(spark)
+        self.made: list[tuple[str, str]] = []
+
+    def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        table, path = f"{name}_{uuid.uuid4().hex}", scratch_path(self.spark, name)
+        self.made.append((table, path))
+        writer = df.write.option("path", path).bucketBy(self.n, *self.key).sortBy(*self.key)
+        before = self.spark.conf.get(self.ORDERED, "false")
+        self.spark.conf.set(self.ORDERED, "true")
+        try:
+            (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+        finally:
+            self.spark.conf.set(self.ORDERED, before)
+        return self.spark.table(table)
+
+    def drop(self) -> None:
+        """Forgets the tables and deletes their files; what was made of them must have been written."""
+        for table, path in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            deleted(self.spark, path)
+        self.made = []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that :func:`scratch_path` named."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, cut from their lineage by a checkpoint in the shared folder."""
     scratch_root(df.sparkSession)

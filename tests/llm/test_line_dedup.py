@@ -3,8 +3,11 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from palimpsest.llm.line_dedup import digest, line_dedup
+import palimpsest.llm.line_dedup as line_dedup_module
+from palimpsest.llm.line_dedup import Runs, digest, line_dedup
+from palimpsest.llm.shared import SortedBuckets, split_join
 
 SCHEMA = "doc_id long, text string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,5 +58,48 @@ def test_repeated_rows_and_columns(spark):
     assert {(r.doc_id, r.text, r.n_chars) for r in got.collect()} == {(i, f"own {i}", 5) for i in range(4)} | {(4, f"{line}\nown 4", len(line) + 6), (None, "", 0)}
 
 
+def test_columns_of_any_name_stay(spark):
+    line = "the same line of more than forty characters, here"
+    names = ["k1", "_lines", "_drop", "_of", "deduplicated", "row", "drop", "lines", "version", "keeper", "batch", "a.b", "known"]
+    rows = [(i, f"{line}\nown {i}", *[f"{n}{i}" for n in names]) for i in range(6)] + [(None, None, *[None] * len(names)), (None, "", *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = line_dedup(df)
+    assert got.schema == df.schema
+    expected = [(i, f"{line}\nown 5" if i == 5 else f"own {i}", *r[2:]) for i, r in enumerate(rows[:6])] + rows[6:]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+
+
+def test_keys_stand_in_one_run_alone(spark):
+    """The keeper comes from the anti-join: a key that a run holds is only tallied."""
+    batch = "k1 long, k2 long, keeper long, documents long, places long"
+    with Runs(spark, 2) as runs:
+        for first in (30, 20, 10):
+            runs.add(spark.createDataFrame([(k, k, first + k, 1, 2) for k in range(0, first)], batch))
+        stored = [r.k1 for run in runs.all() for r in run.collect()]
+        counted = {r.k1: (r.keeper, r.documents, r.places) for r in runs.counted().collect()}
+    assert sorted(stored) == list(range(30))
+    assert counted == {k: (30 + k, n := 1 + (k < 20) + (k < 10), 2 * n) for k in range(30)}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("run0_")]
+
+
+def test_runs_are_merged_without_a_shuffle_of_their_own(spark):
+    batch = spark.createDataFrame([(k, k, k, 1, 1) for k in range(99)], "k1 long, k2 long, keeper long, documents long, places long")
+    with Runs(spark, 9) as runs:
+        runs.add(batch.groupBy("k1", "k2").agg(*[F.max(c).alias(c) for c in batch.columns[2:]]))
+        own = batch.groupBy("k1", "k2").agg(F.max("keeper").alias("keeper"))
+        spark.conf.set(SortedBuckets.ORDERED, "true")
+        plan = own.join(runs.all()[0].select("k1", "k2").hint("merge"), ["k1", "k2"], "left")._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set(SortedBuckets.ORDERED, "false")
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
+def test_hot_and_other_keys(spark, monkeypatch):
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for share in (1, 10, 1 << 40):
+        monkeypatch.setattr(line_dedup_module, "split_join", lambda *a, share=share: split_join(*a, share=share))
+        assert sorted(map(tuple, digest(df).collect())) == brute(rows)
+
+
 def test_empty_table(spark):
     assert digest(spark.createDataFrame([], SCHEMA)).collect() == []
