@@ -60,20 +60,47 @@ FEATURES = ("kind", "size", "digit_share", "upper", "cue", "contrary")
 ACCEPT, ROUNDS, SMOOTH, CONTEXT = 0.9, 25, 1.0, 40
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running_sums(sizes: Column) -> Column:
+    """Sums of all sizes up to each place.
+
+    An append copies the array, so sums run within blocks of the square root of the number of
+    places, and blocks are then moved by the sums before them.
+    """
+    none = F.array().cast("array<int>")
+
+    def append(sums: Column, x: Column) -> Column:
+        return F.concat(sums, F.array(F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0)) + x))
+
+    def over(n: Column, width: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda b: F.slice(sizes, b * width + 1, width))
+        return _let(F.transform(blocks, lambda block: F.aggregate(block, none, append)), moved)
+
+    def moved(within: Column) -> Column:
+        totals = F.transform(within, lambda sums: F.get(sums, F.size(sums) - 1))
+        before = F.aggregate(F.slice(totals, 1, F.size(totals) - 1), F.array(F.lit(0)), append)
+        return F.flatten(F.zip_with(within, before, lambda sums, more: F.transform(sums, lambda x: x + more)))
+
+    n = F.size(sizes)
+    return F.when(n > 0, over(n, F.ceil(F.sqrt(n)).cast("int"))).otherwise(none)
+
+
 def matches(text: Column, kind: str, pattern: str) -> Column:
-    """Array of (start, end, span, before) of a pattern's matches, in code points."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,span:string>>").alias("out"))
+    """Array of (start, end, span, before) of a pattern's matches, in code points; before is what stands between it and the match before."""
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["g"])
-        end = start + F.char_length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("span")))).alias("out"))
+    def one(x: Column, end: Column) -> Column:
+        return F.struct((end - F.char_length(x["m"])).alias("start"), end.alias("end"), x["m"].alias("span"), F.right(x["g"], F.lit(CONTEXT)).alias("before"))
+
+    def placed(found: Column) -> Column:
+        return F.zip_with(found, running_sums(F.transform(found, lambda x: F.char_length(x["g"]) + F.char_length(x["m"]))), one)
 
-    placed = F.aggregate(pairs, begin, step, lambda acc: acc["out"])
-    none = F.array().cast("array<struct<start:int,end:int,span:string>>")
-    return F.when(text.rlike(GUARD[kind]), placed).otherwise(none)
+    none = F.array().cast("array<struct<start:int,end:int,span:string,before:string>>")
+    return F.when(text.rlike(GUARD[kind]), _let(F.filter(pairs, lambda x: x["m"].isNotNull()), placed)).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
@@ -133,12 +160,11 @@ def _votes(kind: str, span: Column, before: Column) -> dict[str, Column]:
     }
 
 
-def _described(text: Column, kind: str, spans: Column) -> Column:
+def _described(kind: str, spans: Column) -> Column:
     """Spans with their kind's number, votes and shape."""
 
     def one(x: Column) -> Column:
         span = x["span"]
-        before = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
         n = F.char_length(span)
         shape = {
             "size": F.least(n / 8, F.lit(5)).cast("int"),
@@ -146,24 +172,25 @@ def _described(text: Column, kind: str, spans: Column) -> Column:
             "upper": F.when(span.rlike("[A-Z]"), 1).otherwise(0),
         }
         return F.struct(
-            x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), *[v.cast("int").alias(k) for k, v in _votes(kind, span, before).items()], *[v.alias(k) for k, v in shape.items()]
+            x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), *[v.cast("int").alias(k) for k, v in _votes(kind, span, x["before"]).items()], *[v.alias(k) for k, v in shape.items()]
         )
 
     return F.transform(spans, one)
 
 
 def marked(documents: DataFrame) -> DataFrame:
-    """doc_id and all base and candidate spans with votes and shapes, sorted; candidates never overlap base spans."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    first = documents.select("doc_id", text.alias("text"))
-    for kind, pattern in (BASE | LOOSE).items():
-        first = first.withColumn(kind, matches(F.col("text"), kind, pattern))
+    """Struct ``row``, a whole document, and its base and candidate spans with votes and shapes, sorted.
+
+    Candidates never overlap base spans.
+    """
+    first = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    first = first.select("row", *[matches(text, kind, pattern).alias(kind) for kind, pattern in (BASE | LOOSE).items()])
     kept = {k: F.filter(F.col(k), _test(k)) for k in BASE}
-    base = F.array_sort(F.concat(*[_described(F.col("text"), k, v) for k, v in kept.items()]))
-    second = first.withColumn("base", base)
-    loose = F.array_sort(F.concat(*[_described(F.col("text"), k, F.col(k)) for k in LOOSE]))
-    free = F.filter(loose, lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return second.select("doc_id", "base", F.when(F.size(loose) > 0, free).otherwise(loose).alias("loose"))
+    second = first.select("row", *LOOSE, F.array_sort(F.concat(*[_described(k, v) for k, v in kept.items()])).alias("base"))
+    third = second.select("row", "base", F.array_sort(F.concat(*[_described(k, F.col(k)) for k in LOOSE])).alias("loose"))
+    free = F.filter("loose", lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return third.select("row", "base", F.when(F.size("loose") > 0, free).otherwise(F.col("loose")).alias("loose"))
 
 
 def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], float]:
@@ -218,9 +245,9 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def personal_data(documents: DataFrame) -> DataFrame:
-    """doc_id, base spans and accepted candidates, each as an array of (start, kind, end)."""
-    spans = written(marked(documents), "spans")
+def _found(spans: DataFrame) -> DataFrame:
+    """Of marked rows: struct ``row`` with its base spans and accepted candidates, each as an array of (start, kind, end)."""
+    spans = written(spans, "spans")
     each = spans.select(F.explode(F.concat("base", "loose")).alias("x")).select("x.*")
     keys = list(dict.fromkeys([*LABELERS, *FEATURES]))
     rows = [({f: r[f] for f in FEATURES}, tuple(r[k] for k in LABELERS), r["count"]) for r in each.groupBy(*keys).count().collect()]
@@ -228,7 +255,13 @@ def personal_data(documents: DataFrame) -> DataFrame:
     least = math.log(ACCEPT / (1 - ACCEPT))
     short = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     added = F.filter("loose", lambda x: _score(x, intercept, weights) >= least)
-    return spans.select("doc_id", short(F.col("base")).alias("base"), short(added).alias("added"))
+    return spans.select("row", short(F.col("base")).alias("base"), short(added).alias("added"))
+
+
+def personal_data(documents: DataFrame) -> DataFrame:
+    """doc_id, base spans and accepted candidates, each as an array of (start, kind, end)."""
+    spans = marked(documents.select("doc_id", "text"))
+    return _found(spans.select(F.struct("row.doc_id").alias("row"), "base", "loose")).select("row.doc_id", "base", "added")
 
 
 def digest(documents: DataFrame) -> DataFrame:
@@ -240,21 +273,20 @@ def digest(documents: DataFrame) -> DataFrame:
 def masked(documents: DataFrame) -> DataFrame:
     """The documents with every span of personal data replaced by its kind in brackets.
 
-    Overlapping spans are replaced as one, named after the first.
+    Overlapping spans are replaced as one, named after the first. Spans stay in the row that they
+    were found in, so repeated or null ids and columns of any name do no harm.
     """
-    found = personal_data(documents.select("doc_id", "text")).select(F.col("doc_id").alias("_of"), F.array_sort(F.concat("base", "added")).alias("_spans")).dropDuplicates(["_of"])
-    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
+    found = _found(marked(documents)).select("row", F.array_sort(F.concat("base", "added")).alias("spans"))
+    names, text = F.array(*[F.lit(f"[{k}]") for k in KINDS]), F.col("row.text")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+        gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
         inside = x["start"] < acc["at"]
         return F.struct(
             F.greatest(acc["at"], x["end"]).alias("at"),
             F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.get(names, x["kind"]))).alias("out"),
         )
 
-    whole = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    text = F.when(F.coalesce(F.size("_spans"), F.lit(0)) > 0, whole).otherwise(F.col("text"))
-    joined = documents.join(found, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in documents.columns])
+    whole = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return found.select(*[F.when(F.size("spans") > 0, whole).otherwise(text).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns])
