@@ -22,8 +22,12 @@ that bucket was stays part of the key (``of``). So no bucket has a cap and none
 in one task. Components come from
 alternating large and small stars over the reported links, in rounds that end in checkpoint().
 
+Fingerprints and their documents meet by ``split_join``, so that the copies of one text, a third of
+all documents or more, don't meet in one task.
+
 Cases: null and empty texts have fingerprint zero, which links like any other; texts of one or
-two words are one shingle; repeated rows keep their own row; an empty table gives an empty
+two words are one shingle; repeated rows keep their own row; a component_id is the least doc_id
+that there is, null only where no row of the component has one; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -37,8 +41,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from palimpsest.llm.shared import checkpointed, written
+from palimpsest.llm.shared import checkpointed, split_join, written
 from palimpsest.llm.words import LOWER_BYTE, NOT_SPACE, U, buffers, scan, slices
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -82,11 +87,13 @@ def fingerprints_of(texts: pa.Array) -> np.ndarray:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, and the text's hash by Spark as version."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
-            yield pa.record_batch({"doc_id": part.column(0), "fingerprint": pa.array(fingerprints_of(part.column(1)).view(np.int64))})
+            yield pa.record_batch({"doc_id": part.column(0), "fingerprint": pa.array(fingerprints_of(part.column(1)).view(np.int64)), "version": part.column(2)})
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(run, "doc_id long, fingerprint long, version long")
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -322,16 +329,37 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpointed(lower.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
 
 
+def _grouped(made: DataFrame, distance: int) -> DataFrame:
+    """Of (doc_id, fingerprint, version): a row for each fingerprint, with the number of its rows, its
+    component_id and the representative of its component, as (null_id, doc_id, version)."""
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "version")).alias("first")
+    distinct = written(made.groupBy("fingerprint").agg(own, F.count("*").alias("copies")).withColumn("rep", F.col("fingerprint")), "distinct")
+    found = components(links(distinct.select("rep", "fingerprint"), distance))
+    named = distinct.join(found, distinct.rep == found.node, "left").select("fingerprint", "copies", "first", F.coalesce("component", "rep").alias("component"))
+    first = named.groupBy("component").agg(F.min("first").alias("first"))
+    return written(named.drop("first").join(first, "component").select("fingerprint", "copies", F.col("first.doc_id").alias("component_id"), "first"), "grouped")
+
+
 def near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id of its near-duplicates."""
+    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id of its near-duplicates (null if none has one)."""
     made = written(fingerprints(documents), "fingerprints")
-    distinct = written(made.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(distinct, distance))
-    named = distinct.join(found, distinct.rep == found.node, "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return made.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    named = split_join(made, _grouped(made, distance), ["fingerprint"], "copies")
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents, with all their columns, that have the least doc_id of their component."""
-    kept = near_duplicates(documents.select("doc_id", "text"), distance).filter("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi")
+    """The documents, with all their columns, that stand for their component.
+
+    That is the one with the least doc_id; a document without doc_id only where none has one, then
+    the one with the least hash of its text. Of rows that repeat it, one stays.
+    """
+    made = written(fingerprints(documents), "fingerprints")
+    firsts = _grouped(made, distance).select("first.*").distinct()
+    kept = firsts.select("null_id", F.coalesce("doc_id", F.lit(0)).alias("id"), "version")
+    whole = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").isNull().alias("null_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("version")
+    )
+    key = ["null_id", "id", "version"]
+    number = F.row_number().over(W.partitionBy(*key).orderBy(*key))
+    alone = whole.join(kept, key, "left_semi").withColumn("number", number).filter("number = 1")
+    return alone.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])

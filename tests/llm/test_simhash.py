@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from palimpsest.llm import simhash
 from palimpsest.llm.simhash import allocate, components, links, near_duplicates, one_of_each
@@ -118,3 +119,26 @@ def test_one_of_each_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
     assert sorted(r.doc_id for r in one_of_each(df).collect()) == [2, 9]
     assert one_of_each(df.limit(0)).collect() == []
+
+
+def test_null_and_repeated_ids(spark):
+    """A document without doc_id stands only for groups that have no other; of repeated rows one stays."""
+    rows = [(None, "one text of its own", "p"), (None, "x y z w", "q"), (7, "X Y z w", "r"), (7, "X Y z w", "r"), (7, "another thing with other words", "s"), (3, None, "t"), (3, "", "u"), (None, None, "v")]
+    names = ["row", "version", "id", "number", "null_id", "component", "copies"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, first string")
+    for n in names:
+        df = df.withColumn(n, F.lit(n))
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+    assert kept == [(0, "one text of its own"), (3, ""), (7, "X Y z w"), (7, "another thing with other words")]
+    made = near_duplicates(df).collect()
+    assert len(made) == len(rows) and sorted(str(r.component_id) for r in made) == ["3", "3", "3", "7", "7", "7", "7", "None"]
+
+
+def test_one_text_in_a_third_of_all_rows(spark):
+    rows = [(i, "the same text everywhere" if i % 3 else f"text {i} of its own {i * i} words {i % 7}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = groups({d: fingerprint(t) for d, t in rows})
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == expected
+    assert {r.doc_id for r in one_of_each(df).collect()} == set(expected.values())
