@@ -13,7 +13,10 @@ the assistant's texts.
 
 Cases: null texts and roles are empty; a parent that is missing makes a message a root; turns
 of one conversation that share a number are ordered by role and text; repeated rows are turns
-of their own; empty tables give an empty result; other columns are ignored.
+of their own; messages of a tree that share a number are one message; in a ring of parents the
+least message is the root; a conversation -7 of the input takes the contract's turns in; empty
+tables give an empty result; other columns are ignored. A conversation becomes one text, so its
+turns meet in one task; nothing else is gathered by conversation alone but the rank of its leaves.
 """
 
 from __future__ import annotations
@@ -56,24 +59,49 @@ def threads(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", number.cast("long").alias("message"), F.when(number > 1, number - 1).cast("long").alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """(conv_id, path, depth, message): the messages on the best root-to-leaf paths of each tree, path counting from 1."""
-    nodes = checkpointed(messages.select("conv_id", "message", "parent", "score"))
+def distinct_messages(messages: DataFrame) -> DataFrame:
+    """One row for each message number of a conversation: of rows that share one, the least by parent, score, role and text."""
+    rest = ("parent", "score", "role", "text")
+    least = messages.groupBy("conv_id", "message").agg(F.min(F.struct(*rest)).alias("least"))
+    whole = {c: F.col("least")[c] for c in rest}
+    return least.select("conv_id", "message", *[(F.coalesce(x, F.lit("")) if c in ("role", "text") else x).alias(c) for c, x in whole.items()])
+
+
+def _climbed(nodes: DataFrame, rounds: int) -> tuple[DataFrame, list[DataFrame], bool]:
+    """Every message with its steps to the root and the sum of scores on the way, the pointers of each round, and
+    whether some never got there. Pointers also carry the least message that they passed."""
     known = nodes.select(F.col("conv_id").alias("c"), F.col("message").alias("m"))
     parent = F.when(F.col("m").isNotNull(), F.col("parent"))
     state = nodes.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("m")), "left").select(
-        "conv_id", "message", parent.alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum")
+        "conv_id", "message", parent.alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum"), parent.alias("least")
     )
     jumps = []
-    while True:
+    for _ in range(rounds + 1):
         state = checkpointed(state)
         jumps.append(state.select("conv_id", "message", "up").filter("up is not null"))
         if jumps[-1].isEmpty():
-            break
-        above = state.select(F.col("conv_id").alias("c"), F.col("message").alias("m"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("sum").alias("plus"))
+            return state, jumps, False
+        above = state.select(F.col("conv_id").alias("c"), F.col("message").alias("m"), F.col("up").alias("further"), F.col("steps").alias("more"), F.col("sum").alias("plus"), F.col("least").alias("lower"))
         going = state.filter("up is not null").join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("m")))
-        moved = going.select("conv_id", "message", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("sum") + F.col("plus")).alias("sum"))
+        moved = going.select("conv_id", "message", F.col("further").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("sum") + F.col("plus")).alias("sum"), F.least("least", "lower").alias("least"))
         state = state.filter("up is null").unionByName(moved)
+    return checkpointed(state), jumps, True
+
+
+def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
+    """(conv_id, path, depth, message): the messages on the best root-to-leaf paths of each tree, path counting from 1.
+
+    As many rounds as the largest conversation needs reach every root. What is still climbing then
+    goes round a ring of parents; the least message of each ring becomes a root.
+    """
+    nodes = checkpointed(messages.select("conv_id", "message", "parent", "score"))
+    largest = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    state, jumps, rings = _climbed(nodes, largest.bit_length())
+    if rings:
+        roots = state.filter("up is not null and least = message").select(F.col("conv_id").alias("c"), F.col("message").alias("m"))
+        cut = nodes.join(roots, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message") == F.col("m")), "left")
+        nodes = checkpointed(cut.select("conv_id", "message", F.when(F.col("m").isNull(), F.col("parent")).alias("parent"), "score"))
+        state, jumps, _ = _climbed(nodes, largest.bit_length())
     parents = nodes.select(F.col("conv_id").alias("c"), F.col("parent").alias("m")).filter("m is not null").distinct()
     leaves = state.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message") == F.col("m")), "left_anti")
     rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc(F.col("sum") / F.col("steps")), F.desc("steps"), "message"))
@@ -88,6 +116,10 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """conv_id, path, formatted text, and the loss mask as (start, end) code points."""
+    return _formatted(distinct_messages(messages), branches)
+
+
+def _formatted(messages: DataFrame, branches: int) -> DataFrame:
     paths = best_paths(messages, branches)
     texts = messages.select(F.col("conv_id").alias("c"), F.col("message").alias("m"), "role", "text")
     turns = paths.join(texts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("message") == F.col("m"))).select("conv_id", "path", "depth", "role", "text")
@@ -117,13 +149,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def extra_conversation(spark: SparkSession) -> DataFrame:
     """Conversation -7 of the contract."""
-    text = "</s>[INST] ok [/INST]"
-    return spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    return spark.range(2, numPartitions=1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
 
 
 def digest(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(extra_conversation(conversations.sparkSession))
-    read = read_back(format_trees(written(threads(rows), "messages")))
+    read = read_back(_formatted(written(threads(rows), "messages"), 1))
     turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

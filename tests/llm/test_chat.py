@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from palimpsest.llm.chat import best_paths, digest, format_trees, read_back, threads
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -72,3 +74,25 @@ def test_paths_against_brute_force(spark):
 def test_empty(spark):
     assert [r.conv_id for r in digest(spark.createDataFrame([], SCHEMA)).collect()] == [-7]
     assert read_back(format_trees(threads(spark.createDataFrame([], SCHEMA)))).collect() == []
+
+
+TREE = "conv_id long, message long, parent long, role string, text string, score double"
+
+
+def test_rings_of_parents_end(spark):
+    """A ring is cut before its least message; a message that is its own parent is a root."""
+    rows = [(1, 4, 6, "user", "a", 0.0), (1, 5, 4, "user", "b", 0.0), (1, 6, 5, "user", "c", 0.0), (1, 9, 6, "user", "d", 0.0), (2, 1, 1, "user", "e", 0.0), (2, 2, 1, "user", "f", 0.0)]
+    rows += [(3, k, (k + 1) % 17, "user", str(k), 0.0) for k in range(17)] + [(4, 1, None, "user", "g", 0.0), (4, 2, 1, "user", "h", 0.0)]
+    got = {r.conv_id: [t.text for t in r.turns] for r in read_back(format_trees(spark.createDataFrame(rows, TREE))).collect()}
+    assert got == {1: ["a", "b", "c", "d"], 2: ["e", "f"], 3: ["0", *[str(k) for k in range(16, 0, -1)]], 4: ["g", "h"]}
+
+
+def test_messages_that_share_a_number_are_one(spark):
+    rows = [(1, 1, None, "user", "x", 0.0), (1, 1, None, "user", "x", 0.0), (1, 2, 1, "user", "b", 0.0), (1, 2, 1, "user", "a", 0.0), (None, 1, None, None, None, 0.0), (None, 1, None, None, None, 0.0)]
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in read_back(format_trees(spark.createDataFrame(rows, TREE).withColumn("least", F.lit(1)))).collect()}
+    assert got == {1: [("user", "x"), ("user", "a")], None: [("", "")]}
+
+
+def test_conversation_of_the_contract_takes_turns_of_the_input_in(spark):
+    row = {r.conv_id: r for r in digest(spark.createDataFrame([(-7, 5, "user", "more")], SCHEMA)).collect()}[-7]
+    assert row.n_turns == 3

@@ -41,3 +41,9 @@ def test_without_labels(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in digest(df).collect()] == ["und"]
     assert digest(df.filter(F.lit(False))).collect() == []
+
+
+def test_null_ids_are_held_out(spark):
+    df = spark.createDataFrame([(None, "some words here", "en"), (4, None, None)], "doc_id long, text string, lang string").withColumn("held_out", F.lit("x")).withColumn("order", F.lit(1))
+    got = {r.doc_id: (r.held_out, r.lang_pred) for r in digest(df).collect()}
+    assert got[None][0] is True and got[4][1] == "und"
