@@ -1,14 +1,18 @@
 """Similarity of strings from longest common subsequences.
 
 Spark has no common-subsequence expression (its edit distance allows substitutions), so the
-length is computed in Arrow batches with one machine-word operation a character: the rows of
-the dynamic program are bits of one integer. Everything around it stays in built-in columns.
+length is computed in Arrow batches: the rows of the dynamic program are bits of one integer, and
+all strings of a batch that one string is compared with stand side by side in it, so that a
+character costs a few operations however many they are. Everything around it stays in built-in
+columns.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,9 +48,62 @@ def ratio_of(a: str, b: str) -> float:
     return 200.0 * common_subsequence(a, b) / total if total else 100.0
 
 
+#: Bits of one integer; beyond that, longer ones cost more time than the steps that they save.
+LANE_BITS = 1 << 14
+
+
+class Lanes:
+    """Strings side by side, each with one bit above it that takes its carry."""
+
+    def __init__(self, texts: tuple[str, ...]) -> None:
+        self.sizes = [len(t) for t in texts]
+        self.starts = [0, *accumulate(n + 1 for n in self.sizes)]
+        joined = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le"), np.uint32)
+        inside = np.ones(len(joined), bool)
+        inside[np.array(self.starts[1:], np.int64) - 1] = False
+        self.full = self._bits(inside)
+        self.places = {chr(c): self._bits((joined == c) & inside) for c in np.unique(joined[inside]).tolist()}
+
+    @staticmethod
+    def _bits(at: np.ndarray) -> int:
+        return int.from_bytes(np.packbits(at, bitorder="little").tobytes(), "little")
+
+    def common(self, text: str) -> list[int]:
+        """Length of the longest common subsequence of the text with each string."""
+        places, full = self.places, self.full
+        rest = full
+        for c in text:
+            if hit := rest & places.get(c, 0):
+                rest = (rest + hit | rest - hit) & full
+        return [n - ((rest >> a) & ((1 << n) - 1)).bit_count() for n, a in zip(self.sizes, self.starts)]
+
+
+lanes = lru_cache(maxsize=64)(Lanes)
+
+
+def ratios(a: list[str], b: list[str]) -> list[float]:
+    """:func:`ratio_of` of each pair; runs of equal strings in a make good use of the lanes."""
+    with_each: dict[str, dict[str, float]] = {}
+    for x, y in zip(a, b):
+        with_each.setdefault(x, {})[y] = 100.0
+    for x, found in with_each.items():
+        group, bits = [], 0
+        others = [y for y in found if y != x]
+        for k, y in enumerate(others):
+            group.append(y)
+            bits += len(y) + 1
+            if bits >= LANE_BITS or k == len(others) - 1:
+                if len(group) == 1:
+                    found[y] = ratio_of(x, y)
+                else:
+                    found.update((z, 200.0 * n / (len(x) + len(z))) for z, n in zip(group, lanes(tuple(group)).common(x)))
+                group, bits = [], 0
+    return [with_each[x][y] for x, y in zip(a, b)]
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio_of(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(ratios(a.fillna("").tolist(), b.fillna("").tolist()), dtype="float64")
 
 
 # Not that it varies: the optimizer would copy a deterministic function into every filter on its result.

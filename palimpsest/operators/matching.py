@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,50 +78,58 @@ def candidates(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> Data
     return breakdown(source, target, cfg).filter(F.col("composite") >= cfg.min_pair_composite)
 
 
-def best_links(n: int, m: int, edges: dict[tuple[int, int], float], least_one_short: bool) -> tuple[dict[int, int], dict[int, int] | None]:
-    """Heaviest matching of the most links, and, if asked for, the heaviest with one link fewer.
+UNIT = 1_000_000
 
-    Links are added one at a time along the path that gains most, so each count's best follows
-    from the one before; rows of an unlinked best column need no search at all.
+
+def best_links(weights: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heaviest matching of the most links, and the heaviest with one link fewer: each row's column, or -1.
+
+    weights are whole numbers, linked tells which pairs may be taken. Shortest augmenting paths
+    over costs of the opposite sign, from all free rows at once, so each count's best follows from
+    the one before; potentials keep costs of unused pairs from being negative, and a step of the
+    search is one operation over a row.
     """
-    by_row: dict[int, list[tuple[int, float]]] = {}
-    for (i, j), w in sorted(edges.items()):
-        by_row.setdefault(i, []).append((j, w))
-    row, column, before = {}, {}, None
+    n, m = weights.shape
+    far = np.iinfo(np.int64).max // 4
+    cost = np.where(linked, -weights, far)
+    row, column = np.full(n, -1), np.full(m, -1)
+    p_row, p_column = np.zeros(n, np.int64), cost.min(axis=0, initial=far)
+    before = row.copy()
     while True:
-        # Bellman-Ford over alternating paths, from free rows to free columns.
-        gain = {i: 0.0 for i in by_row if i not in row}
-        via: dict[int, int] = {}
-        reach: dict[int, float] = {}
-        queue = sorted(gain)
-        while queue:
-            nxt = []
-            for i in queue:
-                for j, w in by_row[i]:
-                    if row.get(i) == j:
-                        continue
-                    value = gain[i] + w
-                    if value > reach.get(j, float("-inf")) + 1e-12:
-                        reach[j], via[j] = value, i
-                        if j in column:
-                            k = column[j]
-                            back = value - edges[k, j]
-                            if back > gain.get(k, float("-inf")) + 1e-12:
-                                gain[k] = back
-                                nxt.append(k)
-            queue = sorted(set(nxt))
-        free = [(v, -j) for j, v in reach.items() if j not in column]
-        if not free:
+        free = row < 0
+        reduced = np.where(linked[free], cost[free] + p_row[free, None] - p_column, far)
+        if not reduced.size:
+            return row, before
+        distance, via = reduced.min(axis=0), np.flatnonzero(free)[reduced.argmin(axis=0)]
+        done, d_row = np.zeros(m, bool), np.where(free, 0, far)
+        end, least = -1, far
+        while True:
+            left = np.where(done, far, distance)
+            j = int(left.argmin())
+            if left[j] >= far or left[j] + p_column.min(initial=0) > least:
+                break
+            done[j] = True
+            i = int(column[j])
+            if i < 0:
+                if distance[j] + p_column[j] < least:
+                    end, least = j, int(distance[j] + p_column[j])
+                continue
+            d_row[i] = distance[j]
+            through = np.where(linked[i], distance[j] + cost[i] + p_row[i] - p_column, far)
+            nearer = ~done & (through < distance)
+            distance[nearer], via[nearer] = through[nearer], i
+        if end < 0:
             return row, before
-        before = dict(row) if least_one_short else None
-        j = -max(free)[1]
+        before = row.copy()
+        most = distance[done].max()
+        p_row += np.minimum(d_row, most)
+        p_column += np.minimum(distance, most)
+        p_row[free] = 0
         while True:
-            i = via[j]
-            old = row.get(i)
-            row[i], column[j] = j, i
-            if old is None:
+            i = int(via[end])
+            row[i], column[end], end = end, i, int(row[i])
+            if end < 0:
                 break
-            j = old
 
 
 _ASSIGNED = "pair_id {0}, page_number int, s_ord long, t_ord long, full boolean, short boolean, gain double"
@@ -137,22 +146,24 @@ def assign(scored: DataFrame, source: DataFrame, target: DataFrame, cfg: Compare
     kind = scored.schema["pair_id"].dataType.simpleString()
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        edges = {(int(i), int(j)): round(min(1.0, max(0.0, w)), 6) for i, j, w in zip(group.s_ord, group.t_ord, group.composite)}
-        full, short = best_links(0, 0, edges, True)
-        weight = lambda links: sum(edges[i, j] for i, j in links.items())
-        short = short or {}
-        gain = weight(short) - weight(full)
-        links = sorted(set(full.items()) | set(short.items()))
+        s, i = np.unique(group.s_ord.to_numpy(), return_inverse=True)
+        t, j = np.unique(group.t_ord.to_numpy(), return_inverse=True)
+        weights, linked = np.zeros((len(s), len(t)), np.int64), np.zeros((len(s), len(t)), bool)
+        weights[i, j] = np.rint(np.clip(group.composite.to_numpy(), 0.0, 1.0) * UNIT)
+        linked[i, j] = True
+        full, short = ({(a, int(b)) for a, b in enumerate(found.tolist()) if b >= 0} for found in best_links(weights, linked))
+        gain = int(sum(weights[x] for x in short) - sum(weights[x] for x in full))
+        links = sorted(full | short)
         page = int(group.page_number.iloc[0]) if "page_number" in group else 0
         return pd.DataFrame(
             {
                 "pair_id": group.pair_id.iloc[0],
                 "page_number": page,
-                "s_ord": [i for i, _ in links],
-                "t_ord": [j for _, j in links],
-                "full": [full.get(i) == j for i, j in links],
-                "short": [short.get(i) == j for i, j in links],
-                "gain": gain,
+                "s_ord": s[[a for a, _ in links]],
+                "t_ord": t[[b for _, b in links]],
+                "full": [x in full for x in links],
+                "short": [x in short for x in links],
+                "gain": gain / UNIT,
             }
         )
 

@@ -49,6 +49,15 @@ def test_token_ratios(spark):
         assert x.t == pytest.approx(ratio_of(" ".join(sorted(x.a.split())), " ".join(sorted(x.b.split()))))
 
 
+def test_ratios_of_many_pairs_are_those_of_each():
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abé漢 \0") for _ in range(r.choice([0, 1, 5, 30, 70, 200])))
+    a, b = [word() for _ in range(12)], [word() for _ in range(40)]
+    pairs = [(r.choice(a), r.choice(b)) for _ in range(600)]
+    found = similarity.ratios(*map(list, zip(*pairs)))
+    assert found == [ratio_of(x, y) for x, y in pairs]
+
+
 NORMAL = [
     ("line", "  PROJECT   NAME　  ", "project name"),
     ("line", "“TRENCH” SECTION", '"trench" section'),

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations, permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,31 @@ def test_assignment(spark):
         assert (min(len(own), min(n, m) - 1), round(sum(e[x] for x in own), 6)) == pytest.approx(best(n, m, e)), (c, own)
 
 
+def test_each_count_of_links_is_solved_best():
+    r = random.Random(9)
+    for _ in range(300):
+        n, m = r.randrange(1, 6), r.randrange(1, 6)
+        edges = {(i, j): r.randrange(1, 9) for i in range(n) for j in range(m) if r.random() < 0.7}
+        weights, linked = np.zeros((n, m), np.int64), np.zeros((n, m), bool)
+        for (i, j), w in edges.items():
+            weights[i, j], linked[i, j] = w, True
+        most = {}
+        for k in range(min(n, m) + 1):
+            for rows in combinations(range(n), k):
+                for cols in permutations(range(m), k):
+                    if all(e in edges for e in zip(rows, cols)):
+                        most[k] = max(most.get(k, 0), sum(edges[e] for e in zip(rows, cols)))
+        full, short = ({(i, j) for i, j in enumerate(x.tolist()) if j >= 0} for x in matching.best_links(weights, linked))
+        assert (len(full), sum(edges[e] for e in full)) == max(most.items())
+        assert sum(edges[e] for e in short) == most[max(len(full) - 1, 0)] and len(short) == max(len(full) - 1, 0)
+
+
+def test_large_pages_end():
+    weights = np.random.default_rng(1).integers(400_000, 1_000_000, (1200, 1300))
+    full, short = matching.best_links(weights, weights > 600_000)
+    assert (full >= 0).sum() == 1200 and len(set(full.tolist())) == 1200 and (short >= 0).sum() == 1199
+
+
 def greedy(edges):
     rows, cols, out = set(), set(), set()
     for w, i, j in sorted((-w, i, j) for (i, j), w in edges.items()):
