@@ -136,7 +136,7 @@ def token_set_of(empty: Column, shared: Column, own_x: Column, own_y: Column) ->
     """
     n, x, y = F.char_length(shared), F.char_length(own_x), F.char_length(own_y)
     lead = n + F.when((n > 0) & (x > 0) & (y > 0), 1).otherwise(0)
-    rest = ratio(own_x, own_y) * (x + y) / 200
+    rest = F.rint(ratio(own_x, own_y) * (x + y) / 200)
     both = 200 * (rest + lead) / F.greatest(2 * lead + x + y, F.lit(1))
     alone = lambda m: F.when(n > 0, 200.0 * n / (n + lead + m)).otherwise(0.0)
     return F.when(empty, 0.0).when((n > 0) & ((x == 0) | (y == 0)), 100.0).otherwise(F.greatest(both, alone(x), alone(y)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from palimpsest.config import CompareConfig
 from palimpsest.operators import classify, matching
@@ -30,6 +31,15 @@ def compare(source: DataFrame, target: DataFrame, cfg: CompareConfig, *, cut) ->
     return out.unionByName(_alone(target, links, "t", "extra_in_target"), allowMissingColumns=True)
 
 
+def ordered_results(results: DataFrame) -> DataFrame:
+    """Results with ``result_ord`` from 0 within a comparison: links by source and target place, then missing, then extra ones.
+
+    Comparisons are numbered apart from each other, so the numbers need no global order.
+    """
+    part = F.when(F.col("s_ord").isNull(), 2).when(F.col("t_ord").isNull(), 1).otherwise(0)
+    return results.withColumn("result_ord", F.row_number().over(W.partitionBy("pair_id").orderBy(part, "s_ord", "t_ord")) - 1)
+
+
 def exact_revision_diff(source: DataFrame, target: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """Full outer difference of two revisions of keyed rows: same, changed, missing or extra."""
     a = source.select(*keys, value.alias("source_value"), F.lit(True).alias("in_source"))

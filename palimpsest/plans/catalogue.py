@@ -11,7 +11,7 @@ from palimpsest.config import CompareConfig, match_threshold
 from palimpsest.functions import geometry, normalize, similarity
 from palimpsest.functions import lines as L
 from palimpsest.operators import classify, compare, evaluate, extract, matching, spatial, textdiff, validate
-from palimpsest.plans import oracle
+from palimpsest.plans import oracle, sheets
 from palimpsest.scratch import checkpointed
 from palimpsest.sources import fixtures, recognition
 
@@ -295,5 +295,5 @@ QUERIES: dict[str, Query] = {
         validate_duplicates, grounding_ints, stale_jobs, fuzz_ratio, text_similarity, normalize_value, pair_breakdown, assign_optimal, classify_pairs, review_flags,
         comparison_summary, greedy_match, text_diff_summary, recap_topk, noise_bullets, legacy_align,
     )
-}
-ORACLE_SQL: dict[str, str] = oracle.SQL
+} | sheets.QUERIES
+ORACLE_SQL: dict[str, str] = oracle.SQL | sheets.SQL

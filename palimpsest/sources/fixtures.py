@@ -75,3 +75,39 @@ def gold(labels: DataFrame, documents: DataFrame) -> DataFrame:
         (in_source | (n % 2 == 0)).alias("in_source"), (in_target | (n % 4 == 0)).alias("in_target"),
         F.when(in_source, confidence(97)).alias("s_confidence"), F.when(in_target, confidence(89)).alias("t_confidence"),
     )
+
+
+def sheets(part: DataFrame) -> DataFrame:
+    """(pair_id, ord, label, value): a sheet of six short fields for each part, five of them labelled."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    rows = [
+        ("Part Name", F.col("p_name")),
+        ("Brand", F.col("p_brand")),
+        ("Type", F.col("p_type")),
+        ("Size", F.concat(size, F.lit(" x "), (F.col("p_size") + 3).cast("string"))),
+        ("", F.concat(F.lit("price "), (key % 100).cast("string"), F.lit("."), size)),
+        ("Issued", F.concat(F.lit("2024-"), two(key % 12 + 1), F.lit("-"), two(key % 28 + 1))),
+    ]
+    each = F.array(*[F.struct(F.lit(i).cast("long").alias("ord"), F.lit(label).alias("label"), value.alias("value")) for i, (label, value) in enumerate(rows)])
+    return part.select(key.cast("long").alias("pair_id"), F.explode(each).alias("f")).select("pair_id", "f.*")
+
+
+def revised_sheets(source: DataFrame) -> DataFrame:
+    """A later revision: of ten fields one goes, one gains a suffix, one is misread, one brings a note, one is renamed, one is reversed."""
+    k = F.pmod(F.col("pair_id") * 7 + F.col("ord") * 3, F.lit(10))
+    value = F.when(k == 1, F.concat("value", F.lit(" REV B"))).when(k == 2, F.replace("value", F.lit("e"), F.lit("3"))).when(k == 5, F.reverse("value")).otherwise(F.col("value"))
+    label = F.when(k == 4, F.concat("label", F.lit(" no"))).otherwise(F.col("label"))
+    same = F.struct("ord", label.alias("label"), value.alias("value"))
+    note = F.struct((F.col("ord") + 100).alias("ord"), F.lit("Note").alias("label"), F.concat(F.lit("added "), F.col("ord").cast("string")).alias("value"))
+    out = F.when(k == 0, F.array().cast("array<struct<ord:bigint,label:string,value:string>>")).when(k == 3, F.array(same, note)).otherwise(F.array(same))
+    return source.select("pair_id", F.explode(out).alias("r")).select("pair_id", "r.*")
+
+
+def sheet_fields(rows: DataFrame, side: str) -> DataFrame:
+    """The fields of sheets, all on one page; part names count as titles."""
+    return rows.select(
+        "pair_id", "ord", F.concat_ws(":", F.lit(side), F.col("pair_id").cast("string"), F.col("ord").cast("string")).alias("field_id"),
+        F.when(F.col("ord") == 0, "title_block").otherwise("ocr_region").alias("field_type"), "label", "value",
+        normalized(F.col("label")).alias("normalized_label"), normalized(F.col("value")).alias("normalized_value"), F.lit(1).alias("page_number"),
+    )
