@@ -50,6 +50,11 @@ class FlagConfig:
     low_confidence: float = 0.55
     uncertain_high: float = 0.42
 
+    @classmethod
+    def service(cls, low: float = 0.55) -> FlagConfig:
+        """Cuts that follow the lowest similarity setting, as a deployed comparison uses them."""
+        return cls(low_confidence=low, uncertain_high=max(0.35, low - 0.12))
+
 
 def patched(config: Any, patch: dict[str, Any]) -> Any:
     """The config with some values replaced; unknown names are an error."""
@@ -75,3 +80,19 @@ def checked_thresholds(strictness: float, match: float | None = None, candidate:
     if pair[1] > pair[0]:
         raise ValueError("the candidate threshold exceeds the match threshold")
     return pair
+
+
+def from_environment(kind: type[Any], environment: dict[str, str], prefix: str) -> Any:
+    """A config whose numbers and switches come from variables named after a prefix and the field; others keep their defaults."""
+    patch: dict[str, Any] = {}
+    for f in fields(kind):
+        if (text := environment.get(f"{prefix}{f.name}".upper())) is None:
+            continue
+        default = getattr(kind(), f.name)
+        patch[f.name] = text.strip().lower() in ("1", "true", "yes", "on") if isinstance(default, bool) else tuple(text.split(",")) if isinstance(default, tuple) else type(default)(text)
+    return replace(kind(), **patch)
+
+
+def first_given(*values: str | None) -> str | None:
+    """The first text that is not blank."""
+    return next((v.strip() for v in values if v and v.strip()), None)

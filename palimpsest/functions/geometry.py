@@ -136,3 +136,52 @@ def tiles(w: Column, h: Column, size: int, overlap: float) -> Column:
 
 def should_tile(w: Column, h: Column, size: int, least_side: int, enabled: bool = True) -> Column:
     return F.lit(enabled) & ((F.least(w, h) >= least_side) | (F.greatest(w, h) > size))
+
+
+def long_edge(w: Column, h: Column, most: int) -> Column:
+    """Width and height of a page whose longer edge is at most so long; 0 is no limit."""
+    scale = most / F.greatest(w, h).cast("double")
+    sized = lambda n: F.greatest(F.lit(1), F.bround(n * scale).cast("int"))
+    shrinks = (F.lit(most) > 0) & (F.greatest(w, h) > most)
+    return F.struct(F.when(shrinks, sized(w)).otherwise(w).alias("width"), F.when(shrinks, sized(h)).otherwise(h).alias("height"))
+
+
+def on_page(b: Column, tile: Column) -> Column:
+    """A box of a tile in the coordinates of its page."""
+    return shifted(b, tile["x"], tile["y"])
+
+
+def remapped(b: Column, page: Column, original: Column, degrees: Column, processed: Column, least: float = 1e-3) -> Column:
+    """A box of a recognised page on the processed one; page, original and processed are sizes (width, height).
+
+    It is scaled to the original, turned with it where the angle is a twentieth of a degree or
+    more, scaled to the processed page, enclosed and clamped.
+    """
+    w, h = original["width"].cast("double"), original["height"].cast("double")
+    sx, sy = w / page["width"], h / page["height"]
+    turns = F.abs(degrees) >= 0.05
+    cos, sin = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    new_w = F.when(turns, F.bround(h * F.abs(sin) + w * F.abs(cos))).otherwise(w)
+    new_h = F.when(turns, F.bround(h * F.abs(cos) + w * F.abs(sin))).otherwise(h)
+    fx, fy = processed["width"] / new_w, processed["height"] / new_h
+    xs, ys = [], []
+    for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")):
+        dx, dy = b[x] * sx - w / 2, b[y] * sy - h / 2
+        xs.append(F.when(turns, cos * dx + sin * dy + new_w / 2).otherwise(b[x] * sx) * fx)
+        ys.append(F.when(turns, cos * dy - sin * dx + new_h / 2).otherwise(b[y] * sy) * fy)
+    low = lambda values, size: F.greatest(F.lit(0.0), F.least(F.least(*values), size - least))
+    x1, y1 = low(xs, processed["width"]), low(ys, processed["height"])
+    return box(x1, y1, F.greatest(x1 + least, F.least(F.greatest(*xs), processed["width"])), F.greatest(y1 + least, F.least(F.greatest(*ys), processed["height"])))
+
+
+def font_size(w: Column, h: Column) -> Column:
+    return F.least(F.lit(28.0), F.greatest(F.lit(10.0), F.greatest(w, h) / 70.0))
+
+
+def badge(index: Column, w: Column, h: Column) -> Column:
+    """Width, height and gap, in pixels, of the badge with a number on a page of this size."""
+    font = F.greatest(F.lit(10), F.bround(font_size(w, h)).cast("int"))
+    across, down = F.greatest(F.lit(6), F.bround(font * 0.45).cast("int")), F.greatest(F.lit(4), F.bround(font * 0.30).cast("int"))
+    text = F.greatest(font, F.ceil(font * 0.7 * F.char_length(index.cast("string"))).cast("int"))
+    gap = F.greatest(F.lit(4), F.bround(font_size(w, h) * 0.45).cast("int"))
+    return F.struct((text + 2 * across).alias("width"), (font + 2 * down).alias("height"), gap.alias("gap"))

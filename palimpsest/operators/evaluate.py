@@ -9,6 +9,8 @@ from pyspark.sql.window import Window as W
 from palimpsest.functions.lines import preview
 from palimpsest.schemas import BUCKETS, GOLD_LABELS
 
+#: Categories of failures, in the order of reports (fixed values).
+CATEGORIES = ("ocr", "extraction", "matching", "classification")
 _GOLD_OF = {"exact_match": "matched", "partial_match": "matched", "changed_value": "changed", "missing_in_target": "missing", "extra_in_target": "extra"}
 #: Legacy names of gold labels (fixed values).
 LEGACY = {"match": "matched", "exact_match": "matched", "partial_match": "matched", "changed_value": "changed", "missing_in_target": "missing", "extra_in_target": "extra"}
@@ -40,18 +42,60 @@ def joined(gold: DataFrame, results: DataFrame) -> DataFrame:
     return gold.join(refs.withColumn("_n", first).filter("_n = 1").drop("_n"), ["pair_id", "field_id"], "left")
 
 
+def _count(label: Column, tp: int, fp: int, fn: int) -> Column:
+    return F.struct(label.alias("label"), *[F.lit(v).cast("long").alias(n) for n, v in (("tp", tp), ("fp", fp), ("fn", fn))])
+
+
+def increments(scored: DataFrame, *by: str) -> DataFrame:
+    """(label, tp, fp, fn) of each row of (expected, match_type): one for the gold label, and one for a wrong guess."""
+    gold, guess = F.col("expected"), gold_of(F.col("match_type"))
+    right = gold == F.coalesce(guess, F.lit(""))
+    parts = F.array(F.when(right, _count(gold, 1, 0, 0)).otherwise(_count(gold, 0, 0, 1)), F.when(~right & guess.isNotNull(), _count(guess, 0, 1, 0)))
+    return scored.select(*by, F.explode(F.array_compact(parts)).alias("c"))
+
+
 def counts(scored: DataFrame, *by: str) -> DataFrame:
     """tp, fp and fn of each label over rows of (expected, match_type); every label has a row for each group."""
-    right = F.col("expected") == F.coalesce(gold_of(F.col("match_type")), F.lit(""))
-    row = lambda label, tp, fp, fn: F.struct(label.alias("label"), *[F.lit(v).cast("long").alias(n) for n, v in (("tp", tp), ("fp", fp), ("fn", fn))])
-    guess = gold_of(F.col("match_type"))
-    parts = F.array(F.when(right, row(F.col("expected"), 1, 0, 0)).otherwise(row(F.col("expected"), 0, 0, 1)), F.when(~right & guess.isNotNull(), row(guess, 0, 1, 0)))
-    zeros = F.array(*[row(F.lit(g), 0, 0, 0) for g in GOLD_LABELS])
-    seen = scored.select(*by, F.explode(F.array_compact(parts)).alias("c"))
+    zeros = F.array(*[_count(F.lit(g), 0, 0, 0) for g in GOLD_LABELS])
+    seen = increments(scored, *by)
     whole = (scored.select(*by).distinct() if by else scored.sparkSession.range(1)).select(*by, F.explode(zeros).alias("c"))
     return seen.unionByName(whole).select(*by, "c.*").groupBy(*by, "label").agg(*[F.sum(n).alias(n) for n in ("tp", "fp", "fn")])
 
 
+#: Why a gold field failed, by what was found (fixed values).
+RATIONALES = {
+    "no_row": "No MatchResult row for this field_id — it was not present in extracted fields under the same id, so parsing never produced an alignable row.",
+    "extra_no_row": "Target field was extracted but no EXTRA_IN_TARGET row references this id (check field_id consistency with the matcher output).",
+    "extracted_no_row": "Field exists on source extraction list but no MatchResult references this field_id.",
+    "uncertain": "Greedy alignment produced a pair but composite scores landed in the uncertain band.",
+    "missing_paired": "Gold says the value is absent on B, but the matcher linked this source row to a target.",
+    "extra_paired": "Gold says target-only extra, but this field was paired with a source row.",
+    "not_paired": "Source field exists but no target candidate met min_pair_composite — alignment failure.",
+    "low_confidence": "At least one side of the pair has field confidence below {0:.2f} (noisy OCR / weak extraction signal).",
+    "matched_changed": "Matcher linked fields but classified values as changed while gold treats them as equivalent.",
+    "changed_matched": "Matcher treated values as equivalent; gold expects a semantic change.",
+    "other": "Outcome mismatch after alignment; thresholds or similarity features likely need tuning.",
+}
+
+
+def rationale(threshold: float) -> Column:
+    """Over failure_pattern and category: why the gold field failed."""
+    pattern, text = F.col("failure_pattern"), {k: F.lit(v.format(threshold)) for k, v in RATIONALES.items()}
+    return (
+        F.when(pattern == "gold_extra_field_in_target_but_no_result_row", text["extra_no_row"])
+        .when(pattern == "gold_field_extracted_but_no_match_row", text["extracted_no_row"])
+        .when(F.col("category") == "extraction", text["no_row"])
+        .when(F.col("category") == "ocr", text["low_confidence"])
+        .when(pattern.endswith("_pred_uncertain"), text["uncertain"])
+        .when(pattern == "gold_missing_pred_paired", text["missing_paired"])
+        .when(pattern == "gold_extra_pred_paired", text["extra_paired"])
+        .when(F.col("category") == "matching", text["not_paired"])
+        .when(pattern == "gold_matched_pred_changed_value", text["matched_changed"])
+        .when(pattern.isin("gold_changed_pred_exact_match", "gold_changed_pred_partial_match"), text["changed_matched"])
+        .otherwise(text["other"])
+    )
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
@@ -76,6 +120,21 @@ def confusion(scored: DataFrame) -> DataFrame:
     return labels.join(pivot, "expected", "left").na.fill(0, list(BUCKETS))
 
 
+def totals(scored: DataFrame) -> DataFrame:
+    """Fields and right ones of each comparison, and of all where pair_id is null."""
+    right = F.count_if(F.col("expected") == F.coalesce(gold_of(F.col("match_type")), F.lit("")))
+    return scored.rollup("pair_id").agg(F.count("*").alias("fields"), right.alias("correct"))
+
+
+def with_membership(scored: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """Scored rows with in_source and in_target: whether extraction found the field (pair_id, field_id) on that side."""
+    out = scored
+    for name, side in (("in_source", source), ("in_target", target)):
+        found = side.select("pair_id", "field_id").distinct().withColumn(name, F.lit(True))
+        out = out.join(found, ["pair_id", "field_id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
+
+
 def binary_tasks(scored: DataFrame) -> DataFrame:
     """Accuracy of finding changed and missing fields; null without any."""
     kinds = {"changed_value_detection": ("changed", "changed_value"), "missing_detection": ("missing", "missing_in_target")}
@@ -116,7 +175,14 @@ def error_taxonomy(scored: DataFrame, threshold: float = 0.55) -> DataFrame:
     category, pattern = F.lit("classification"), named(kind)
     for test, c, p in reversed(table):
         category, pattern = F.when(test, c).otherwise(category), F.when(test, p).otherwise(pattern)
-    return failed.withColumn("category", category).withColumn("failure_pattern", pattern).withColumn("min_field_confidence", low)
+    return failed.withColumn("category", category).withColumn("failure_pattern", pattern).withColumn("min_field_confidence", low).withColumn("rationale", rationale(threshold))
+
+
+def category_counts(failures: DataFrame) -> DataFrame:
+    """Failures of each category, those without any too, and the comparisons that they are in."""
+    found = failures.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("pair_id").alias("pairs"))
+    every = failures.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in CATEGORIES])).alias("category"))
+    return every.join(found, "category", "left").na.fill(0, ["n", "pairs"])
 
 
 def examples(failures: DataFrame, k: int = 8) -> DataFrame:

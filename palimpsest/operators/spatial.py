@@ -60,29 +60,66 @@ def annotations(results: DataFrame) -> DataFrame:
     return visible.withColumn("index", n).withColumn("annotation_id", F.format_string("ann-%03d", n)).withColumn("anchor", F.coalesce("s_bbox", "t_bbox"))
 
 
-_PLACED = "pair_id {0}, page_number int, index int, x double, y double"
-
-
-def badge_places(marks: DataFrame, width: float, height: float, size: float = 28.0, gap: float = 4.0) -> DataFrame:
-    """Places of square badges beside their boxes, one after the other on each page.
-
-    Above is tried first, then below, right, left and the box's corner; a place must lie on the
-    page and overlap no earlier badge. Failing all, the first place moves down row by row.
+_PLACED = "pair_id {0}, page_number int, index int, placement string, x1 int, y1 int, x2 int, y2 int"
+Rectangle = tuple[int, int, int, int]
+
+
+def _apart(a: Rectangle, others: list[Rectangle], pad: int) -> bool:
+    return all(a[2] + pad <= b[0] or b[2] + pad <= a[0] or a[3] + pad <= b[1] or b[3] + pad <= a[1] for b in others)
+
+
+def _slid(x: int, y: int, w: int, h: int, page: tuple[int, int], along: int, gap: int, taken: list[Rectangle], avoid: list[Rectangle]) -> Rectangle | None:
+    """The place nearest to (x, y) along an axis (0 across, 1 down) that is free, by whole steps forth and back."""
+    step, size = max(4, gap, min(w, h) // 3), (w, h)[along]
+    room = max(0, page[along] - size)
+    for k in range(room // step + 2):
+        for shift in (k * step, -k * step)[: 2 if k else 1]:
+            at = (x, y)[along] + shift
+            if not 0 <= at <= page[along] - size:
+                continue
+            own = (at, y, at + w, y + h) if along == 0 else (x, at, x + w, at + h)
+            if _apart(own, taken, max(2, gap // 2)) and _apart(own, avoid, max(1, gap // 3)):
+                return own
+    return None
+
+
+def place_badge(mark: Rectangle, w: int, h: int, gap: int, page: tuple[int, int], taken: list[Rectangle], marks: list[Rectangle]) -> tuple[str, Rectangle]:
+    """Beside its mark, above, right, left or below, where the page has room and no badge or mark is in the way; else inside it."""
+    x1, y1, x2, y2 = mark
+    most_x, most_y = max(0, page[0] - w), max(0, page[1] - h)
+    sides = [
+        ("outside_top", y1 >= h + gap, min(x1, most_x), y1 - h - gap, 0),
+        ("outside_right", x2 + gap + w <= page[0], x2 + gap, min(y1, most_y), 1),
+        ("outside_left", x1 >= w + gap, x1 - w - gap, min(y1, most_y), 1),
+        ("outside_bottom", y2 + gap + h <= page[1], min(x1, most_x), y2 + gap, 0),
+    ]
+    for name, fits, x, y, along in sides:
+        if fits and (own := _slid(x, y, w, h, page, along, gap, taken, marks)):
+            return name, own
+    x = min(max(x1 + gap, 0), min(most_x, max(x1, x2 - w)))
+    y = min(max(y1 + gap, 0), min(most_y, max(y1, y2 - h)))
+    return "inside", _slid(x, y, w, h, page, 0, max(2, gap // 2), taken, []) or (x, y, x + w, y + h)
+
+
+def badge_places(marks: DataFrame, width: int, height: int) -> DataFrame:
+    """Places of numbered badges (pair_id, page_number, index, anchor), one after the other on each page of this size.
+
+    A page is one task's, since each badge gives way to those before it.
     """
     kind = marks.schema["pair_id"].dataType.simpleString()
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        done: list[tuple[float, float]] = []
-        clear = lambda x, y: all(abs(x - a) >= size or abs(y - b) >= size for a, b in done)
-        for r in group.sort_values("index").itertuples():
-            tries = [(r.x1, r.y1 - size - gap), (r.x1, r.y2 + gap), (r.x2 + gap, r.y1), (r.x1 - size - gap, r.y1), (r.x1 + gap, r.y1 + gap)]
-            inside = [(x, y) for x, y in tries if 0 <= x <= width - size and 0 <= y <= height - size]
-            x, y = next((t for t in inside if clear(*t)), (min(max(r.x1, 0.0), width - size), min(max(r.y1, 0.0), height - size)))
-            while not clear(x, y) and y + size + gap <= height - size:
-                y += size + gap
-            done.append((x, y))
         rows = group.sort_values("index")
-        return pd.DataFrame({"pair_id": rows.pair_id, "page_number": rows.page_number, "index": rows["index"], "x": [p[0] for p in done], "y": [p[1] for p in done]})
-
-    flat = marks.select("pair_id", "page_number", "index", *[F.col(f"anchor.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+        boxes = [tuple(map(int, r)) for r in rows[["x1", "y1", "x2", "y2"]].to_numpy().tolist()]
+        taken, found = [], []
+        for box, w, h, gap in zip(boxes, rows.badge_width.tolist(), rows.badge_height.tolist(), rows.gap.tolist()):
+            name, own = place_badge(box, w, h, gap, (width, height), taken, boxes)
+            taken.append(own)
+            found.append((name, *own))
+        made = pd.DataFrame(found, columns=["placement", "x1", "y1", "x2", "y2"])
+        return pd.concat([rows[["pair_id", "page_number", "index"]].reset_index(drop=True), made], axis=1)
+
+    size = geometry.badge(F.col("index"), F.lit(width), F.lit(height))
+    pixels = [F.floor("anchor.x1").alias("x1"), F.floor("anchor.y1").alias("y1"), F.ceil("anchor.x2").alias("x2"), F.ceil("anchor.y2").alias("y2")]
+    flat = marks.select("pair_id", "page_number", "index", *pixels, size["width"].alias("badge_width"), size["height"].alias("badge_height"), size["gap"].alias("gap"))
     return flat.groupBy("pair_id", "page_number").applyInPandas(place, _PLACED.format(kind))

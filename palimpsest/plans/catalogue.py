@@ -11,7 +11,7 @@ from palimpsest.config import CompareConfig, match_threshold
 from palimpsest.functions import geometry, normalize, similarity
 from palimpsest.functions import lines as L
 from palimpsest.operators import classify, compare, evaluate, extract, matching, spatial, textdiff, validate
-from palimpsest.plans import oracle, sheets
+from palimpsest.plans import oracle, reports, sheets
 from palimpsest.scratch import checkpointed
 from palimpsest.sources import fixtures, recognition
 
@@ -162,9 +162,7 @@ def binary_task(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summary_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    gold = _gold(spark, sf)
-    right = F.count_if(F.col("expected") == F.coalesce(evaluate.gold_of(F.col("match_type")), F.lit("")))
-    return gold.rollup("pair_id").agg(F.count("*").alias("fields"), right.alias("correct")).select("pair_id", "fields", "correct")
+    return evaluate.totals(_gold(spark, sf)).select("pair_id", "fields", "correct")
 
 
 def _failures(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +189,7 @@ def annotation_index(spark: SparkSession, sf: str) -> DataFrame:
 def badge_placement(spark: SparkSession, sf: str) -> DataFrame:
     boxes = fixtures.boxes(fixtures.table(spark, sf, "embeddings"))
     marks = boxes.select(F.lit(1).cast("long").alias("pair_id"), F.col("page").alias("page_number"), F.col("id").alias("index"), F.col("bbox").alias("anchor"))
-    return spatial.badge_places(marks, 1000.0, 1000.0, 6.0, 1.0)
+    return spatial.badge_places(marks, 1000, 1000)
 
 
 def extract_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,8 +214,8 @@ def grounding_ints(spark: SparkSession, sf: str) -> DataFrame:
 
 def stale_jobs(spark: SparkSession, sf: str) -> DataFrame:
     jobs = fixtures.table(spark, sf, "events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("modified"))
-    latest = jobs.agg(F.max("modified")).first()[0]
-    return validate.stale(jobs, F.lit(latest).cast("timestamp")).select("job_id", F.col("age").cast("long").alias("age"))
+    latest = jobs.agg(F.max("modified").alias("now"))
+    return validate.stale(jobs.join(F.broadcast(latest)), F.col("now")).select("job_id", F.col("age").cast("long").alias("age"))
 
 
 def fuzz_ratio(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,5 +293,5 @@ QUERIES: dict[str, Query] = {
         validate_duplicates, grounding_ints, stale_jobs, fuzz_ratio, text_similarity, normalize_value, pair_breakdown, assign_optimal, classify_pairs, review_flags,
         comparison_summary, greedy_match, text_diff_summary, recap_topk, noise_bullets, legacy_align,
     )
-} | sheets.QUERIES
-ORACLE_SQL: dict[str, str] = oracle.SQL | sheets.SQL
+} | sheets.QUERIES | reports.QUERIES
+ORACLE_SQL: dict[str, str] = oracle.SQL | sheets.SQL | reports.SQL

@@ -60,3 +60,17 @@ def upload_name(name: str, size: int, suffixes: tuple[str, ...] = (".pdf", ".png
 def latest_report(reports: DataFrame) -> DataFrame:
     """Of (path, modificationTime) the newest."""
     return reports.agg(F.max_by("path", "modificationTime").alias("path"))
+
+
+def index(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The index of a folder's manifests, as its file has it; none where there is no file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/index.json")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.json(place.toString(), multiLine=True)
+
+
+def with_annotations(pairs: DataFrame, fields: DataFrame) -> DataFrame:
+    """Pairs with their gold fields; a pair without an annotation keeps one row, whose ``failed`` says so."""
+    joined = pairs.join(fields.withColumn("found", F.lit(True)), "pair_id", "left")
+    return joined.withColumn("failed", F.col("found").isNull()).drop("found")

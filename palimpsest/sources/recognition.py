@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import schemas
 from palimpsest.functions import geometry
+from palimpsest.functions.arrays import running_sums
 
 
 class UnsupportedProvider(ValueError):
@@ -56,15 +57,67 @@ def word_level(rows: DataFrame, level: int = 5) -> DataFrame:
 def token_boxes(line: Column, box: Column) -> Column:
     """Array of (text, x1, x2) of a line's words, its width shared out by their lengths."""
     words = F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
-    sizes = F.transform(words, lambda w: F.char_length(w))
-    total = F.greatest(F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.lit(1))
+    total = F.greatest(F.char_length(F.array_join(words, "")), F.lit(1))
     unit = geometry.width(box) / total
+    ends = running_sums(F.transform(words, F.char_length))
+    return F.zip_with(words, ends, lambda w, end: F.struct(w.alias("text"), (box["x1"] + (end - F.char_length(w)) * unit).alias("x1"), (box["x1"] + end * unit).alias("x2")))
 
-    def place(w: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)
-        return F.struct(w.alias("text"), (box["x1"] + before * unit).alias("x1"), (box["x1"] + (before + F.char_length(w)) * unit).alias("x2"))
 
-    return F.transform(words, place)
+def line_id(page: Column, number: Column) -> Column:
+    """The id of a line: its page, and its place there from 0."""
+    return F.concat(F.lit("p"), page.cast("string"), F.lit("-l"), number.cast("string"))
+
+
+#: Confidence of words that come without one, and of the words of a line that comes without words (fixed values).
+WORD_CONFIDENCE, LINE_CONFIDENCE = 0.95, 0.9
+#: The top share of the page that a line without a box takes (fixed value).
+DEFAULT_SHARE = 0.15
+
+
+def result_lines(rows: DataFrame) -> DataFrame:
+    """Lines of recognition results (document_id, page_number, number, text, bbox, words, width, height).
+
+    Words (text, bbox), if there are any, make the line; else its text does, along its box or the
+    top of the page. Blank words and lines go, lines keep the number that they had.
+    """
+    word = lambda w: F.struct(F.trim(w["text"]).alias("text"), F.lit(WORD_CONFIDENCE).alias("confidence"), w["bbox"].alias("bbox"))
+    named = F.filter(F.transform(F.coalesce("words", F.array()), word), lambda w: w["text"] != "")
+    zero = F.lit(0.0)
+    own = F.coalesce("bbox", geometry.from_xywh(zero, zero, F.col("width"), F.greatest(F.col("height") * DEFAULT_SHARE, F.lit(1.0))))
+    along = F.transform(
+        token_boxes(F.trim(F.coalesce("text", F.lit(""))), own),
+        lambda t: F.struct(t["text"].alias("text"), F.lit(LINE_CONFIDENCE).alias("confidence"), geometry.box(t["x1"], own["y1"], t["x2"], own["y2"]).alias("bbox")),
+    )
+    tokens = F.when(F.size(F.coalesce("words", F.array())) > 0, named).otherwise(along)
+    made = rows.select("document_id", "page_number", "number", line_id(F.col("page_number"), F.col("number")).alias("line_id"), tokens.alias("tokens")).filter(F.size("tokens") > 0)
+    edge = lambda pick, name: pick(F.transform("tokens", lambda t: t["bbox"][name]))
+    around = geometry.box(edge(F.array_min, "x1"), edge(F.array_min, "y1"), edge(F.array_max, "x2"), edge(F.array_max, "y2"))
+    mean = F.aggregate("tokens", F.lit(0.0), lambda a, t: a + t["confidence"]) / F.size("tokens")
+    return made.withColumns({"text": F.array_join(F.transform("tokens", lambda t: t["text"]), " "), "confidence": F.bround(mean, 6), "bbox": around})
+
+
+def embedded_first(embedded: DataFrame, recognised: DataFrame) -> DataFrame:
+    """Lines (document_id, ...) embedded in a document; those recognised only for documents without any."""
+    return embedded.unionByName(recognised.join(embedded.select("document_id").distinct(), "document_id", "left_anti"))
+
+
+def span_text(spans: Column) -> Column:
+    """The texts of spans that are not empty, with spaces between and none at the ends."""
+    return F.trim(F.array_join(F.filter(spans, lambda s: s != ""), " "))
+
+
+def lines_from_spans(lines: DataFrame) -> DataFrame:
+    """Lines (document_id, page_number, block, line, spans) from the spans (text, bbox) of a text layer; blank spans and lines go."""
+    kept = F.filter("spans", lambda s: F.trim(s["text"]) != "")
+    edge = lambda pick, name: pick(F.transform("kept", lambda s: s["bbox"][name]))
+    whole = lines.withColumn("kept", kept).filter(F.size("kept") > 0)
+    around = geometry.box(edge(F.array_min, "x1"), edge(F.array_min, "y1"), edge(F.array_max, "x2"), edge(F.array_max, "y2"))
+    return whole.select("document_id", "page_number", "block", "line", span_text(F.transform("kept", lambda s: F.trim(s["text"]))).alias("text"), F.lit(1.0).alias("confidence"), around.alias("bbox"))
+
+
+def of_pages(regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """Regions on the given pages (document_id, page_number); a page without any has no rows."""
+    return regions.join(pages.select("document_id", "page_number").distinct(), ["document_id", "page_number"], "left_semi")
 
 
 def regions(docs: DataFrame) -> DataFrame:

@@ -18,12 +18,7 @@ def scored_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def running_counts(stream: DataFrame) -> DataFrame:
     """tp, fp and fn of each label so far; the state is one row a label."""
-    guess = evaluate.gold_of(F.col("match_type"))
-    right = F.col("expected") == F.coalesce(guess, F.lit(""))
-    row = lambda label, tp, fp, fn: F.struct(label.alias("label"), F.lit(tp).alias("tp"), F.lit(fp).alias("fp"), F.lit(fn).alias("fn"))
-    parts = F.array(F.when(right, row(F.col("expected"), 1, 0, 0)).otherwise(row(F.col("expected"), 0, 0, 1)), F.when(~right & guess.isNotNull(), row(guess, 0, 1, 0)))
-    each = stream.select(F.explode(F.array_compact(parts)).alias("c")).select("c.*")
-    return each.groupBy("label").agg(*[F.sum(n).cast("long").alias(n) for n in ("tp", "fp", "fn")])
+    return evaluate.increments(stream).select("c.*").groupBy("label").agg(*[F.sum(n).cast("long").alias(n) for n in ("tp", "fp", "fn")])
 
 
 def start(counts: DataFrame, name: str, checkpoint: str) -> StreamingQuery:

@@ -1,10 +1,12 @@
 import random
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import geometry, normalize, similarity
+from palimpsest.functions.arrays import running_sums
 from palimpsest.functions import lines as L
 from palimpsest.functions.similarity import common_subsequence, ratio_of
 
@@ -105,6 +107,13 @@ def test_normalise_columns(spark):
     assert tuple(row.first()) == ("A/B|C/D", "A/B", "", "a b")
 
 
+def test_running_sums(spark):
+    r = random.Random(1)
+    lists = [[r.randrange(50) for _ in range(n)] for n in (0, 1, 2, 3, 4, 5, 9, 10, 17, 100, 1000)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>").select("i", running_sums(F.col("x")).alias("s")).collect()
+    assert {x.i: x.s for x in got} == {i: list(accumulate(x)) for i, x in enumerate(lists)}
+
+
 def test_noise_and_categories(spark):
     texts = ["E", "6\"", "0' - 6\"", "�" * 8, "|" * 14, "normal label", "", "aaaaaaaa", "x", "12x24"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L.noise_line(F.col("t"), 0.92).alias("noise"), L.noise_likelihood(F.col("t")).alias("p"))
