@@ -27,6 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.arrays import let, running_sums
 from palimpsest.llm.shared import written
 
 #: Base patterns, made possessive (fixed values).
@@ -60,35 +61,6 @@ FEATURES = ("kind", "size", "digit_share", "upper", "cue", "contrary")
 ACCEPT, ROUNDS, SMOOTH, CONTEXT = 0.9, 25, 1.0, 40
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def running_sums(sizes: Column) -> Column:
-    """Sums of all sizes up to each place.
-
-    An append copies the array, so sums run within blocks of the square root of the number of
-    places, and blocks are then moved by the sums before them.
-    """
-    none = F.array().cast("array<int>")
-
-    def append(sums: Column, x: Column) -> Column:
-        return F.concat(sums, F.array(F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0)) + x))
-
-    def over(n: Column, width: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda b: F.slice(sizes, b * width + 1, width))
-        return _let(F.transform(blocks, lambda block: F.aggregate(block, none, append)), moved)
-
-    def moved(within: Column) -> Column:
-        totals = F.transform(within, lambda sums: F.get(sums, F.size(sums) - 1))
-        before = F.aggregate(F.slice(totals, 1, F.size(totals) - 1), F.array(F.lit(0)), append)
-        return F.flatten(F.zip_with(within, before, lambda sums, more: F.transform(sums, lambda x: x + more)))
-
-    n = F.size(sizes)
-    return F.when(n > 0, over(n, F.ceil(F.sqrt(n)).cast("int"))).otherwise(none)
-
-
 def matches(text: Column, kind: str, pattern: str) -> Column:
     """Array of (start, end, span, before) of a pattern's matches, in code points; before is what stands between it and the match before."""
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
@@ -100,7 +72,7 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
         return F.zip_with(found, running_sums(F.transform(found, lambda x: F.char_length(x["g"]) + F.char_length(x["m"]))), one)
 
     none = F.array().cast("array<struct<start:int,end:int,span:string,before:string>>")
-    return F.when(text.rlike(GUARD[kind]), _let(F.filter(pairs, lambda x: x["m"].isNotNull()), placed)).otherwise(none)
+    return F.when(text.rlike(GUARD[kind]), let(F.filter(pairs, lambda x: x["m"].isNotNull()), placed)).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
