@@ -150,15 +150,15 @@ def markdown_reports(rows: DataFrame, summary: DataFrame, flagged: DataFrame) ->
     Rows of a section stand in order of place; reasons of flags are cut at 200 characters.
     """
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(F.coalesce(c, F.lit("—"))) for c in ("on_source_drawing", "on_target_drawing")], F.format_string("%.0f%%", F.col("match_confidence") * 100), cell(F.col("ocr_confidence"))), F.lit(" |"))
-    by_kind = rows.groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("technical_match_type") == k, F.struct(F.coalesce("s_ord", "t_ord").alias("o"), "t_ord", line.alias("line"))))).alias(k) for k, _, _ in RESULT_SECTIONS])
+    by_kind = rows.groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("technical_match_type") == k, F.struct(F.coalesce("s_ord", "t_ord").alias("o"), "t_ord", line.alias("line"))))).alias(f"rows_{k}") for k, _, _ in RESULT_SECTIONS])
     flag = F.concat(F.lit("| "), F.concat_ws(" | ", "severity", "type", cell(F.col("field_reference")), cell(F.substring("reason", 1, 200))), F.lit(" |"))
     flags = flagged.groupBy("pair_id").agg(F.array_sort(F.collect_list(flag)).alias("flags"))
     whole = summary.join(executive_sentence(summary), "pair_id").join(by_kind, "pair_id", "left").join(flags, "pair_id", "left")
     counts = F.concat(F.lit("## Summary counts\n\n" + _table("Measure", "Count", "What it means")), F.concat_ws("\n", *[F.concat(F.lit(f"| {name} | "), F.col(c).cast("string"), F.lit(f" | {text} |")) for c, name, text in MEASURES]))
     parts = [F.concat(F.lit("# Drawing comparison report\n\n## At a glance\n\n"), F.col("sentence")), counts]
     for kind, name, none in RESULT_SECTIONS:
-        body = F.array_join(F.transform(kind, lambda x: x["line"]), "\n")
-        parts.append(F.when(F.size(F.coalesce(kind, F.array())) > 0, F.concat(F.lit(f"## {name}\n\n" + _table("Source text", "Target text", "Match confidence", "OCR confidence")), body)).otherwise(F.lit(f"## {name}\n\n{none}")))
+        body = F.array_join(F.transform(f"rows_{kind}", lambda x: x["line"]), "\n")
+        parts.append(F.when(F.coalesce(F.size(f"rows_{kind}"), F.lit(0)) > 0, F.concat(F.lit(f"## {name}\n\n" + _table("Source text", "Target text", "Match confidence", "OCR confidence")), body)).otherwise(F.lit(f"## {name}\n\n{none}")))
     parts.append(F.when(F.col("flags").isNotNull(), F.concat(F.lit("## Review flags\n\n" + _table("Severity", "Type", "Field", "Detail")), F.array_join("flags", "\n"))).otherwise(F.lit(f"## Review flags\n\n{NO_FLAGS}")))
     return whole.select("pair_id", F.concat_ws("\n\n", *parts).alias("markdown"))
 

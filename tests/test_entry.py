@@ -32,3 +32,21 @@ def test_query(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert QUERIES.keys() <= __spark_entry__.queries().keys() and __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
+
+
+def test_queries_stay_where_training_data_cannot_be_imported(monkeypatch):
+    """A subpackage that is there, but lacks a module that it needs, takes nothing else along."""
+    import importlib
+    import sys
+    import warnings
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("palimpsest.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    entry = importlib.reload(__spark_entry__)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        names = entry.queries()
+        assert names and not any(n.startswith("op") and n[2].isdigit() for n in names) and "pipeline" not in names and entry.oracle_sql()

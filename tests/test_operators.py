@@ -57,11 +57,34 @@ def test_clusters(spark):
     assert spatial.by_overlap(boxes, 0.0).count() == 2 * 40 * 39 // 2
 
 
-def test_badges_do_not_overlap(spark):
-    rows = [(1, 1, i, 50.0 + i, 50.0, 60.0 + i, 60.0) for i in range(12)]
+def test_badges_stand_beside_their_marks(spark):
+    rows = [(1, 1, i, 50.0 + i, 50.0, 60.0 + i, 60.0) for i in range(12)] + [(1, 2, i, 300.0 * i, 400.0 * i, 300.0 * i + 40, 400.0 * i + 40) for i in range(3)]
     marks = spark.createDataFrame(rows, "pair_id long, page_number int, index int, a double, b double, c double, d double").select("pair_id", "page_number", "index", geometry.box(*map(F.col, "abcd")).alias("anchor"))
-    at = [(r.x, r.y) for r in spatial.badge_places(marks, 500.0, 500.0, 20.0, 2.0).collect()]
-    assert len(at) == 12 and all(abs(a - c) >= 20 or abs(b - d) >= 20 for i, (a, b) in enumerate(at) for c, d in at[:i])
+    got = {(r.page_number, r["index"]): r for r in spatial.badge_places(marks, 700, 900).collect()}
+    size = marks.select("page_number", "index", geometry.badge(F.col("index"), F.lit(700), F.lit(900)).alias("b")).collect()
+    for r in size:
+        own = got[r.page_number, r["index"]]
+        assert (own.x2 - own.x1, own.y2 - own.y1) == (r.b.width, r.b.height) and 0 <= own.x1 and own.x2 <= 700 and 0 <= own.y1 and own.y2 <= 900
+    apart = lambda p, q: p[2] <= q[0] or q[2] <= p[0] or p[3] <= q[1] or q[3] <= p[1]
+    for page in (1, 2):
+        own = [got[page, i][4:8] for i in range(12 if page == 1 else 3)]
+        assert all(apart(p, q) for i, p in enumerate(own) for q in own[:i])
+        boxes = [tuple(map(int, r[3:])) for r in rows if r[1] == page]
+        assert all(apart(p, q) for p, (name, *_) in zip(own, ((got[page, i].placement,) for i in range(len(own)))) if name != "inside" for q in boxes)
+    # On a page with room: above first, to the right where there is none above, on the left in the corner below.
+    gap, (w, h) = size[0].b.gap, (size[0].b.width, size[0].b.height)
+    assert got[2, 0].placement == "outside_right" and (got[2, 0].x1, got[2, 0].y1) == (40 + gap, 0)
+    assert got[2, 1].placement == "outside_top" and (got[2, 1].x1, got[2, 1].y2) == (300, 400 - gap)
+    assert got[2, 2].placement == "outside_top" and got[2, 2].x1 == 600
+
+
+def test_no_room_for_a_badge_but_inside():
+    assert spatial.place_badge((0, 0, 100, 60), 20, 10, 4, (100, 60), [], [(0, 0, 100, 60)]) == ("inside", (4, 4, 24, 14))
+    # The first place inside is taken: the next step to the right.
+    assert spatial.place_badge((0, 0, 100, 60), 20, 10, 4, (100, 60), [(4, 4, 24, 14)], [(0, 0, 100, 60)])[1] == (28, 4, 48, 14)
+    # Above is taken: along the top edge, by steps to the right.
+    name, place = spatial.place_badge((50, 50, 60, 60), 10, 10, 4, (200, 200), [(50, 36, 60, 46)], [(50, 50, 60, 60)])
+    assert name == "outside_top" and place == (62, 36, 72, 46)
 
 
 def test_evaluation(spark):
