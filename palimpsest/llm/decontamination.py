@@ -9,8 +9,10 @@ wavelet matrix for ranks, and suffix positions sampled at every eighth place and
 of each stretch. All phrases of one length are searched backward together; occurrences are
 located by walking to a sampled position; their spans are merged.
 
-The benchmark is read in blocks of at most ``BLOCK_WORDS`` words, each of them a broadcast of
-bounded size; a task searches its shards for one block after the other. Nothing is shuffled.
+The benchmark is read in blocks of at most ``BLOCK_WORDS`` words (or one longer item). One block
+is broadcast at a time, so neither the driver nor a worker ever holds more. A benchmark of one
+block takes one pass, and nothing is shuffled. A larger one takes a pass a block, whose hits are
+written to the shared folder; they are merged by document, and only documents with hits travel.
 
 Cases: null or empty documents and items have no words; items that equal each other all count;
 repeated rows are judged each on its own; an empty benchmark leaves every document clean;
@@ -19,19 +21,21 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from palimpsest.llm.shared import written
 from palimpsest.llm.words import WORD_LIKE, buffers, hashes, scan, slices
 
 WIDTH = 13
 SHARD_BYTES = 1 << 20
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 SAMPLE = 8
 
 
@@ -181,16 +185,14 @@ def occurrences(words: np.ndarray, first: np.ndarray, phrases: Phrases) -> Itera
         yield place[index.locate(places)], which, width
 
 
-def _shard(texts: pa.Array, benchmark: list, with_spans: bool) -> dict[str, list]:
+def _shard(texts: pa.Array, phrases: Phrases | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+    """First word of each text, whether each word is hit, how many hits each text has, and its items."""
     raw, at = buffers(texts)
     starts, ends, first = scan(raw, at, WORD_LIKE)
-    words = hashes(raw, starts, ends, lower=True)
-    rows = len(at) - 1
-    edge = np.zeros(len(words) + 1, np.int64)
+    edge = np.zeros(len(starts) + 1, np.int64)
     items: dict[int, set[str]] = {}
-    for block in benchmark:
-        phrases = block.value
-        for begin, which, width in occurrences(words, first, phrases):
+    if phrases is not None:
+        for begin, which, width in occurrences(hashes(raw, starts, ends, lower=True), first, phrases):
             np.add.at(edge, begin, 1)
             np.add.at(edge, begin + width, -1)
             doc = np.searchsorted(first, begin, "right") - 1
@@ -199,79 +201,109 @@ def _shard(texts: pa.Array, benchmark: list, with_spans: bool) -> dict[str, list
                 items.setdefault(pair // len(names), set()).update(names[pair % len(names)])
     hit = np.cumsum(edge)[:-1] > 0
     total = np.concatenate([[0], np.cumsum(hit)])
-    n_words, n_hit = np.diff(first), total[first[1:]] - total[first[:-1]]
-    out = {"n_words": n_words, "n_hit": n_hit, "items": [sorted(items.get(d, ())) for d in range(rows)], "contaminated": (n_hit > 0) & (20 * n_hit >= n_words)}
-    if with_spans:
-        spans = []
-        for d in range(rows):
-            own = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[d] : first[d + 1]].astype(np.int8), [0]])))
-            spans.append([{"start": a, "end": b} for a, b in own.reshape(-1, 2).tolist()] if n_hit[d] else [])
-        out["spans"] = spans
-    return out
+    return first, hit, total[first[1:]] - total[first[:-1]], [sorted(items.get(d, ())) for d in range(len(at) - 1)]
 
 
-def _run(documents: DataFrame, benchmark: DataFrame, width: int, schema: str, shape) -> DataFrame:
-    sc = documents.sparkSession.sparkContext
-    sent = [sc.broadcast(b) for b in blocks(benchmark, width)]
+def _is_contaminated(n_hit, n_words):
+    """The rule, of arrays as of columns."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def _spans(hit: np.ndarray) -> list[dict[str, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = "doc_id long, version long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+
+
+def _pass(documents: DataFrame, phrases: Phrases | None, only_hits: bool) -> tuple[DataFrame, Broadcast]:
+    """A row a document, or only those with hits, for one block."""
+    sent = documents.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SHARD_BYTES):
-            yield shape(part.column(0), part.column(1), sent)
+            first, hit, n_hit, items = _shard(part.column(1), sent.value)
+            spans = [_spans(hit[a:b]) if n else [] for a, b, n in zip(first[:-1].tolist(), first[1:].tolist(), n_hit.tolist())]
+            made = pa.record_batch(
+                {
+                    "doc_id": part.column(0), "version": part.column(2), "n_words": pa.array(np.diff(first), pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
+                    "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, _SPANS),
+                }
+            )
+            yield made.filter(pa.array(n_hit > 0)) if only_hits else made
+
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(run, _FOUND), sent
+
+
+def _merged(documents: DataFrame, blocks_: Iterator[Phrases]) -> DataFrame:
+    """Hits of several blocks, one row for each document with any; repeated rows of one text are one."""
+    hits = None
+    for phrases in blocks_:
+        found, sent = _pass(documents, phrases, True)
+        own = written(found, "hits")
+        sent.destroy()
+        hits = own if hits is None else hits.unionByName(own)
+    gathered = hits.groupBy("doc_id", "version").agg(
+        F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("all")
+    )
+    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    def joined(done: Column, span: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))))
+        return F.when((F.size(done) > 0) & (span["start"] <= last["end"]), grown).otherwise(F.concat(done, F.array(span)))
 
+    merged = gathered.withColumn("spans", F.aggregate("all", none, joined))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return written(merged.select("doc_id", "version", "n_words", n_hit.alias("n_hit"), "items", "spans"), "contamination")
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Words hit, the items they come from, the merged spans of words to remove, and the verdict on each document."""
 
-    def shape(doc_ids: pa.Array, texts: pa.Array, sent: list) -> pa.RecordBatch:
-        found = _shard(texts, sent, True)
-        return pa.record_batch(
-            {
-                "doc_id": doc_ids,
-                "n_words": pa.array(found["n_words"], pa.int64()),
-                "n_hit": pa.array(found["n_hit"], pa.int64()),
-                "items": pa.array(found["items"], pa.list_(pa.string())),
-                "spans": pa.array(found["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                "contaminated": pa.array(found["contaminated"]),
-            }
-        )
+def _blocks_of(benchmark: DataFrame, width: int) -> tuple[Phrases | None, Iterator[Phrases] | None]:
+    """The only block of a benchmark, or all of several."""
+    found = blocks(benchmark, width)
+    first, second = next(found, None), next(found, None)
+    return (first, None) if second is None else (None, chain([first, second], found))
+
 
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>, contaminated boolean"
-    return _run(documents, benchmark, width, schema, shape)
+def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Words hit, the items they come from, the merged spans of words to remove, and the verdict on each document."""
+    one, many = _blocks_of(benchmark, width)
+    found, _ = _pass(documents, one, False)
+    if many is not None:
+        own = _merged(documents, many).select("doc_id", "version", "n_hit", "items", "spans")
+        counted = found.select(F.col("doc_id").alias("of"), F.col("version").alias("at"), "n_words")
+        joined = counted.join(own, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("version")), "left")
+        none = lambda c: F.coalesce(c, F.array().cast(own.schema[c].dataType))
+        found = joined.select(F.col("of").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), none("items").alias("items"), none("spans").alias("spans"))
+    return found.select("doc_id", "n_words", "n_hit", "items", "spans", _is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
 def digest(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """As :func:`decontaminate`, with a count and a digest of the items."""
-
-    def shape(doc_ids: pa.Array, texts: pa.Array, sent: list) -> pa.RecordBatch:
-        found = _shard(texts, sent, False)
-        return pa.record_batch(
-            {
-                "doc_id": doc_ids,
-                "n_words": pa.array(found["n_words"], pa.int64()),
-                "n_hit": pa.array(found["n_hit"], pa.int64()),
-                "n_items": pa.array([len(x) for x in found["items"]], pa.int64()),
-                "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found["items"]], pa.string()),
-                "contaminated": pa.array(found["contaminated"]),
-            }
-        )
-
-    return _run(documents, benchmark, width, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", shape)
+    found = decontaminate(documents, benchmark, width)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents, whole and with all their columns, that are not contaminated."""
-    names = documents.columns
-    sc = documents.sparkSession.sparkContext
-    sent = [sc.broadcast(b) for b in blocks(benchmark, width)]
-    at = names.index("text")
+    one, many = _blocks_of(benchmark, width)
+    if many is not None:
+        whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+        bad = _merged(documents, many).filter(_is_contaminated(F.col("n_hit"), F.col("n_words")))
+        kept = whole.join(bad, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("version")), "left_anti")
+        return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
+    sent = documents.sparkSession.sparkContext.broadcast(one)
+    at = documents.columns.index("text")
+    plain = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])  # names with dots can't be passed on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SHARD_BYTES):
-            yield part.filter(pa.array(~_shard(part.column(at), sent, False)["contaminated"]))
+        for part in slices(batches, f"c{at}", SHARD_BYTES):
+            first, _, n_hit, _ = _shard(part.column(at), sent.value)
+            yield part.filter(pa.array(~_is_contaminated(n_hit, np.diff(first))))
 
-    return documents.mapInArrow(run, documents.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)
 
 
 def oracle_sql(width: int = WIDTH) -> str:

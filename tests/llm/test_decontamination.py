@@ -67,6 +67,28 @@ def test_spans(spark):
     assert (row.n_hit, row["items"], [tuple(x) for x in row.spans]) == (6, ["7", "8"], [(1, 7)])
 
 
+def test_blocks_give_what_one_block_gives(spark, monkeypatch):
+    docs, items = corpus(5)
+    docs += [(None, items[0][1]), (None, items[0][1]), (None, "q"), docs[7]]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = [rows(f(d, b)) for f in (decontaminate, digest, clean)]
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 30)
+    assert [rows(f(d, b)) for f in (decontaminate, digest, clean)] == whole
+
+
+def test_columns_of_any_name_stay(spark, monkeypatch):
+    names = ["row", "version", "n_hit", "items", "spans", "n_words", "of", "at", "a.b"]
+    docs = [(1, "one two three", *names), (2, "other words", *names), (None, None, *[None] * len(names)), (2, "other words", *names)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    b = spark.createDataFrame([(1, "one two three"), (2, "four five")], "item_id long, text string")
+    for most in (10**6, 1):
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", most)
+        got = clean(d, b)
+        assert got.schema == d.schema and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, docs[1:]))
+
+
 def test_documents_without_words_come_first(spark):
     item, short = " ".join(f"w{i}" for i in range(13)), "v0 v1"
     items = [(1, item), (2, short)]
