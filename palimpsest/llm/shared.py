@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,9 +29,47 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that this application writes to."""
+    return f"{scratch_root(spark)}/palimpsest/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{scratch_root(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Tables that this process saved in the catalogue, and where their files are.
+_TABLES: dict[str, str] = {}
+
+
+def saved(writer: DataFrameWriter, spark: SparkSession, name: str) -> str:
+    """Saves rows as a table of the shared folder, and gives its name."""
+    table, path = f"{name}_{uuid.uuid4().hex}", scratch_path(spark, name)
+    writer.option("path", path).saveAsTable(table)
+    _TABLES[table] = path
+    return table
+
+
+def forget(spark: SparkSession, table: str) -> None:
+    """Drops a saved table and deletes its files; what was made of it must have been written."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _delete(spark, _TABLES.pop(table))
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Drops the tables, and deletes the files, that operators of this application left for their lazy results.
+
+    Results that have not been written yet can't be read after it.
+    """
+    for table in list(_TABLES):
+        forget(spark, table)
+    _delete(spark, own_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -70,34 +108,25 @@ class SortedBuckets:
 
     def __init__(self, spark: SparkSession, key: list[str]) -> None:
         self.spark, self.key, self.n = spark, key, shuffle_partitions(spark)
-        self.made: list[tuple[str, str]] = []
+        self.made: list[str] = []
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        table, path = f"{name}_{uuid.uuid4().hex}", scratch_path(self.spark, name)
-        self.made.append((table, path))
-        writer = df.write.option("path", path).bucketBy(self.n, *self.key).sortBy(*self.key)
+        writer = df.write.bucketBy(self.n, *self.key).sortBy(*self.key)
         before = self.spark.conf.get(self.ORDERED, "false")
         self.spark.conf.set(self.ORDERED, "true")
         try:
-            (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+            self.made.append(saved(writer.partitionBy(*partition_by) if partition_by else writer, self.spark, name))
         finally:
             self.spark.conf.set(self.ORDERED, before)
-        return self.spark.table(table)
+        return self.spark.table(self.made[-1])
 
     def drop(self) -> None:
-        """Forgets the tables and deletes their files; what was made of them must have been written."""
-        for table, path in self.made:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-            deleted(self.spark, path)
+        """Forgets all tables; what was made of them must have been written."""
+        for table in self.made:
+            forget(self.spark, table)
         self.made = []
 
 
-def deleted(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that :func:`scratch_path` named."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, cut from their lineage by a checkpoint in the shared folder."""
     scratch_root(df.sparkSession)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import checkpointed, scratch_path, shuffle_partitions
+from palimpsest.llm.shared import checkpointed, saved, shuffle_partitions
 from palimpsest.llm.words import NOT_SPACE, Spans, U, buffers, hashes, mix, scan, slices
 
 ROUNDS = 6
@@ -251,13 +251,8 @@ def chunks(documents: DataFrame, name: str) -> DataFrame:
             )
 
     made = documents.select("doc_id", "text").mapInArrow(gather, "chunk_id long, doc_ids array<long>, texts array<string>, n_bytes long")
-    (
-        made.write.bucketBy(shuffle_partitions(spark), "chunk_id")
-        .option("path", scratch_path(spark, name))
-        .option("parquet.block.size", str(4 * CHUNK_BYTES))
-        .saveAsTable(table := f"{name}_{uuid.uuid4().hex}")
-    )
-    return spark.table(table)
+    writer = made.write.bucketBy(shuffle_partitions(spark), "chunk_id").option("parquet.block.size", str(4 * CHUNK_BYTES))
+    return spark.table(saved(writer, spark, name))
 
 
 def repeated_windows(documents: DataFrame, window: int, finish: Callable[[pa.Array, pa.Array, "Chunk", np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:

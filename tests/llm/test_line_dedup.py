@@ -82,6 +82,19 @@ def test_keys_stand_in_one_run_alone(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("run0_")]
 
 
+def test_cleanup_leaves_nothing(spark):
+    from pathlib import Path
+
+    from palimpsest.llm import shared, substring_dedup
+
+    df = spark.createDataFrame(corpus(1)[:9], SCHEMA)
+    assert substring_dedup.digest(df).count() == digest(df).count() == 9
+    folder = Path(shared.own_folder(spark).removeprefix("file://"))
+    assert any(folder.iterdir()) and any(t.name.startswith("chunks_") for t in spark.catalog.listTables())
+    shared.cleanup(spark)
+    assert not folder.exists() and not any(t.name.startswith("chunks_") for t in spark.catalog.listTables())
+
+
 def test_runs_are_merged_without_a_shuffle_of_their_own(spark):
     batch = spark.createDataFrame([(k, k, k, 1, 1) for k in range(99)], "k1 long, k2 long, keeper long, documents long, places long")
     with Runs(spark, 9) as runs:
