@@ -153,8 +153,9 @@ def keep_good(documents: DataFrame) -> DataFrame:
 
     The row number keeps the filter above the projections; pushed below, it would repeat them.
     """
-    judged = measured(documents).select(*documents.columns, (~base_failed() & verdict()).alias(_PREFIX + "kept"), F.monotonically_increasing_id().alias(_PREFIX + "row"))
-    return judged.filter(_c("kept") & (_c("row") >= 0)).select(*documents.columns)
+    own = [f"`{c}`" for c in documents.columns]
+    judged = measured(documents).select(*own, (~base_failed() & verdict()).alias(_PREFIX + "kept"), F.monotonically_increasing_id().alias(_PREFIX + "row"))
+    return judged.filter(_c("kept") & (_c("row") >= 0)).select(*own)
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -62,11 +62,11 @@ def test_run(spark):
 def test_stages_on_odd_tables(spark, tmp_path):
     """Nulls in any column, repeated rows, empty and long texts, clashing names, and no rows at all."""
     good = "It was late in the day when the small boat came back to the harbour, and all the people of the village stood on the old wall to see who had been saved from the storm that night."
-    names = ["row", "version", "drop", "lines", "first", "component", "deduplicated", "n_words", "k1"]
+    names = ["row", "version", "drop", "lines", "first", "component", "deduplicated", "n_words", "k1", "a.b", "words"]
     own = lambda i: [f"{n}{i}" for n in names]
     rows = [(1, good, "en", None, 5, *own(1)), (1, good, "en", None, 5, *own(1)), (None, good.replace("It was", "it was"), None, None, None, *own(2)), (None, None, None, None, None, *[None] * len(names)), (4, "", "x", "y", 0, *own(4))]
     rows += [(5, " ".join(f"the w{i} of a" for i in range(30_000)), "en", "s", 9, *own(5)), (6, "z" * 50_000, "en", "s", 9, *own(6))]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
     for k, df in enumerate((spark.createDataFrame(rows, schema), spark.createDataFrame([], schema))):
         docs = df
         for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
