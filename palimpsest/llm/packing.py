@@ -14,7 +14,7 @@ carried into the next, so memory is bounded by a block and the longest document.
 partition is cut into powers of two, which need no padding. Nothing is shuffled.
 
 Tokens come from the tokenizer, but by one call for each distinct piece of a slice that is not
-in a bounded cache: the tokenizer drops white space and never joins across it, nor across the
+among a bounded number of known ones: the tokenizer drops white space and never joins across it, nor across the
 bounds of letters, digits and marks.
 
 Cases: null text is an empty document (one end token); empty tables give an empty result;
@@ -25,16 +25,16 @@ span as many sequences as they need.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.words import LOWER_BYTE, buffers, hashes, same_bytes, scan, slices
+from palimpsest.llm.words import LOWER_BYTE, U, buffers, equal_bytes, hashes, same_bytes, scan, slices
 
 LENGTH = 2048
 END_TOKEN = 1
@@ -43,8 +43,8 @@ SENTENCE_PENALTY, HARD_PENALTY = 1, 24
 #: Sentences of more tokens than this get hard cuts, so many tokens apart.
 LONG, STEP = 96, 16
 SLICE_BYTES = 512 << 10
-#: Bytes of pieces and ids that one generation of the cache holds.
-CACHE_BYTES, ENTRY_BYTES = 32 << 20, 200
+#: Pieces that are kept, and the most bytes of one.
+KNOWN, KNOWN_BYTES = 300_000, 64
 
 #: Only these bytes separate chunks here; any other white space is left to the tokenizer.
 _UNBROKEN = np.ones(256, bool)
@@ -98,8 +98,64 @@ def pieces(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return first, last, kind[first] != _OTHER, text
 
 
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of an array one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Known:
+    """Pieces with their ids, in flat arrays; when there are too many, those go that were not met since the last time."""
+
+    def __init__(self) -> None:
+        self.hash, self.order = np.zeros(0, U), np.zeros(0, np.int64)  # sorted, and the entry of each
+        self.text, self.text_at, self.text_n = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.ids_at, self.ids_n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met = np.zeros(0, bool)
+
+    def find(self, keys: np.ndarray, text: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The entry of each piece, byte by byte the same; -1 for those that aren't known."""
+        if not len(self.hash):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(self.hash, keys), len(self.hash) - 1)
+        entry = np.where(self.hash[place] == keys, self.order[place], -1)
+        hit = np.flatnonzero(entry >= 0)
+        same = equal_bytes(text, at[hit], n[hit], self.text, self.text_at[entry[hit]], self.text_n[entry[hit]])
+        entry[hit[~same]] = -1
+        self.met[entry[hit[same]]] = True
+        return entry
+
+    def add(self, keys: np.ndarray, text: np.ndarray, at: np.ndarray, n: np.ndarray, ids: np.ndarray, ids_n: np.ndarray) -> None:
+        """New pieces of small size, each with a hash of its own."""
+        place = np.searchsorted(self.hash, keys)
+        fresh = np.ones(len(keys), bool) if not len(self.hash) else self.hash[np.minimum(place, len(self.hash) - 1)] != keys
+        ids_at = np.cumsum(ids_n) - ids_n
+        keep = np.flatnonzero(fresh & (n <= KNOWN_BYTES))
+        if len(self.met) + len(keep) > KNOWN:
+            self._forget()
+            place = np.searchsorted(self.hash, keys)
+        entries = len(self.met) + np.arange(len(keep))
+        self.hash, self.order = np.insert(self.hash, place[keep], keys[keep]), np.insert(self.order, place[keep], entries)
+        self.text_at = np.concatenate([self.text_at, len(self.text) + np.cumsum(n[keep]) - n[keep]])
+        self.ids_at = np.concatenate([self.ids_at, len(self.ids) + np.cumsum(ids_n[keep]) - ids_n[keep]])
+        self.text, self.ids = np.concatenate([self.text, _gathered(text, at[keep], n[keep])]), np.concatenate([self.ids, _gathered(ids, ids_at[keep], ids_n[keep])])
+        self.text_n, self.ids_n = np.concatenate([self.text_n, n[keep]]), np.concatenate([self.ids_n, ids_n[keep]])
+        self.met = np.concatenate([self.met, np.ones(len(keep), bool)])
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.met) if self.met.sum() <= KNOWN // 2 else np.zeros(0, np.int64)
+        number = np.full(len(self.met), -1)
+        number[kept] = np.arange(len(kept))
+        stays = number[self.order] >= 0
+        self.hash, self.order = self.hash[stays], number[self.order[stays]]
+        self.text, self.ids = _gathered(self.text, self.text_at[kept], self.text_n[kept]), _gathered(self.ids, self.ids_at[kept], self.ids_n[kept])
+        self.text_n, self.ids_n = self.text_n[kept], self.ids_n[kept]
+        self.text_at, self.ids_at = np.cumsum(self.text_n) - self.text_n, np.cumsum(self.ids_n) - self.ids_n
+        self.met = np.zeros(len(kept), bool)
+
+
 class Words:
-    """Token ids of whole texts, with a cache of pieces in two generations of bounded size."""
+    """Token ids of whole texts; the tokenizer's model is asked once for each piece that isn't known."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -107,36 +163,16 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.characters = dict(enumerate(byte_characters()))
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.held = 0
+        self.known = Known()
         ends = [i for t, i in self.tokenizer.get_vocab().items() if (s := t.removesuffix("</w>")) and not s.strip(".!?") and t.endswith("</w>")]
         self.sentence_end = np.zeros(max(self.tokenizer.get_vocab_size(), END_TOKEN + 1) + 1, bool)
         self.sentence_end[ends] = True
 
-    def encoded(self, piece: bytes, plain: bool) -> bytes:
+    def encoded(self, piece: bytes, plain: bool) -> list[int]:
         """Ids of one piece: plain ones need none of the tokenizer's steps before its model."""
         if plain:
-            ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.characters))]
-        else:
-            ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        return array("I", ids).tobytes()
-
-    def found(self, pieces: list[bytes], plain: list[bool]) -> list[bytes]:
-        """Ids of each piece, from the cache where it holds them."""
-        own = list(map(self.new.get, pieces))
-        for i, ids in enumerate(own):
-            if ids is None:
-                piece = pieces[i]
-                ids = self.old.get(piece)
-                own[i] = ids = self.encoded(piece, plain[i]) if ids is None else ids
-                size = ENTRY_BYTES + len(piece) + len(ids)
-                if size <= CACHE_BYTES >> 6:
-                    if self.held + size > CACHE_BYTES:
-                        self.old, self.new, self.held = self.new, {}, 0
-                    self.new[piece] = ids
-                    self.held += size
-        return own
+            return [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.characters))]
+        return self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in a run, and the offset of each row."""
@@ -144,19 +180,30 @@ class Words:
         if not _UNBROKEN[raw].any():
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         starts, ends, plain, read = pieces(raw, at)
-        _, index, inverse = np.unique(hashes(read, starts, ends), return_index=True, return_inverse=True)
-        unlike = np.flatnonzero(~(same_bytes(read, starts, ends, index[inverse]) & (plain == plain[index[inverse]])))
+        keys = hashes(read, starts, ends)
+        keys, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        # Pieces of equal hash that are not the same stand for themselves.
+        unlike = np.flatnonzero(~same_bytes(read, starts, ends, index[inverse]))
         inverse[unlike] = len(index) + np.arange(len(unlike))
         index = np.concatenate([index, unlike])
-        text = read.tobytes()
-        own = self.found([text[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist())], plain[index].tolist())
-        lengths = np.fromiter(map(len, own), np.int64, len(own)) >> 2
-        flat = np.frombuffer(b"".join(own), np.uint32)
-        begins = np.cumsum(lengths) - lengths
-        each = lengths[inverse]
+        begin, size = starts[index], ends[index] - starts[index]
+        entry = np.full(len(index), -1)
+        entry[: len(keys)] = self.known.find(keys, read, begin[: len(keys)], size[: len(keys)])
+        new = np.flatnonzero(entry < 0)
+        found = [self.encoded(read[a : a + n].tobytes(), p) for a, n, p in zip(begin[new].tolist(), size[new].tolist(), plain[index[new]].tolist())]
+        new_n = np.fromiter(map(len, found), np.int64, len(found))
+        new_ids = np.fromiter(chain.from_iterable(found), np.uint32, int(new_n.sum()))
+        known = entry >= 0
+        counts, places = np.empty(len(index), np.int64), np.empty(len(index), np.int64)
+        counts[known], places[known] = self.known.ids_n[entry[known]], self.known.ids_at[entry[known]]
+        counts[new], places[new] = new_n, len(self.known.ids) + np.cumsum(new_n) - new_n
+        flat = np.concatenate([self.known.ids, new_ids])
+        own = int(np.searchsorted(new, len(keys)))
+        self.known.add(keys[new[:own]], read, begin[new[:own]], size[new[:own]], new_ids, new_n[:own])
+        each = counts[inverse]
         to = np.zeros(len(each) + 1, np.int64)
         np.cumsum(each, out=to[1:])
-        return flat[np.repeat(begins[inverse] - to[:-1], each) + np.arange(to[-1])], to[np.searchsorted(starts, at)]
+        return _gathered(flat, places[inverse], each), to[np.searchsorted(starts, at)]
 
 
 def best_cuts(positions: list[int], penalties: list[int], length: int) -> tuple[list[float], list[int]]:

@@ -127,20 +127,28 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     return out
 
 
-def same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Whether each word equals, byte by byte, the word whose number is given for it."""
-    sizes, eights = ends - starts, _eights(raw)
-    same = sizes == sizes[others]
-    live = np.flatnonzero(same & (sizes <= LONG_WORD) & (others != np.arange(len(others))))
-    for at in range(0, LONG_WORD, 8):
-        live = live[sizes[live] > at]
+def equal_bytes(raw: np.ndarray, at: np.ndarray, n: np.ndarray, other: np.ndarray, other_at: np.ndarray, other_n: np.ndarray) -> np.ndarray:
+    """Whether words of one buffer, by places and sizes, equal words of another, byte by byte."""
+    same = n == other_n
+    left, right = _eights(raw), _eights(other)
+    live = np.flatnonzero(same & (n <= LONG_WORD))
+    for k in range(0, LONG_WORD, 8):
+        live = live[n[live] > k]
         if not len(live):
             break
-        unlike = (eights[starts[live] + at] ^ eights[starts[others[live]] + at]) & _FIRST_BYTES[np.minimum(sizes[live] - at, 8)]
+        unlike = (left[at[live] + k] ^ right[other_at[live] + k]) & _FIRST_BYTES[np.minimum(n[live] - k, 8)]
         same[live[unlike != 0]] = False
-    for i in np.flatnonzero(same & (sizes > LONG_WORD)).tolist():
-        j = int(others[i])
-        same[i] = bool((raw[starts[i] : ends[i]] == raw[starts[j] : ends[j]]).all())
+    for i in np.flatnonzero(same & (n > LONG_WORD)).tolist():
+        same[i] = bool((raw[at[i] : at[i] + n[i]] == other[other_at[i] : other_at[i] + n[i]]).all())
+    return same
+
+
+def same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each word equals, byte by byte, the word whose number is given for it."""
+    same = np.ones(len(starts), bool)
+    apart = np.flatnonzero(others != np.arange(len(others)))
+    sizes, to = ends - starts, others[apart]
+    same[apart] = equal_bytes(raw, starts[apart], sizes[apart], raw, starts[to], sizes[to])
     return same
 
 

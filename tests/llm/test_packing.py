@@ -4,8 +4,10 @@ from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from palimpsest.llm import packing
 from palimpsest.llm.packing import best_cuts, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -64,3 +66,18 @@ def test_repeated_and_empty(spark):
     assert pack(spark.createDataFrame([], SCHEMA), PATH).collect() == []
     got = pack(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string").coalesce(1), PATH, digest=True).collect()
     assert sorted((x.start, x.length, x.offset) for x in got) == [(0, 2, 0), (0, 2, 2)]
+
+
+def test_known_pieces_are_forgotten_and_met_again(monkeypatch):
+    """Ids stay right when few pieces can be kept, and the arrays stay small."""
+    r = random.Random(8)
+    monkeypatch.setattr(packing, "KNOWN", 40)
+    words, tokenizer = packing.Words(PATH), Tokenizer.from_file(PATH)
+    vocabulary = ["".join(r.choice("abcdé12!<") for _ in range(r.choice([1, 3, 9, 80]))) for _ in range(60)]
+    for _ in range(60):
+        texts = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(12))) for _ in range(3)]
+        ids, at = words.ids(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in pairwise(at.tolist())] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        known = words.known
+        assert len(known.hash) == len(known.met) == len(known.text_n) == len(known.ids_n) <= 40 + 36
+        assert (np.diff(known.hash.astype(object)) > 0).all() and known.text_n.sum() == len(known.text) and known.ids_n.sum() == len(known.ids)
