@@ -17,8 +17,8 @@ it contains, together with a fingerprint of that context. Two Spark rounds follo
 Documents first become a table of chunks (a few MB of documents each) in the shared folder,
 bucketed by chunk, so both rounds and the final pass read text in place. A chunk sends each
 key or window to its bucket once, however often it holds it, and gets one bit back. So a
-passage in a third of all documents costs one entry a chunk, no bucket holds an unbounded group
-and no pairs are made.
+passage in a third of all documents costs one entry a chunk, and no pairs are made. Chunks beyond
+``GROUP`` are summed up by group before they meet, so that no bucket holds an entry of every chunk.
 
 Cases: null text has no words; a text of fewer words than the window keeps all; an empty table
 gives an empty result; repeated rows are copies of each other; columns other than ``doc_id``
@@ -37,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import checkpointed, saved, shuffle_partitions
+from palimpsest.llm.shared import checkpointed, saved, shuffle_partitions, written
 from palimpsest.llm.words import NOT_SPACE, Spans, U, buffers, hashes, mix, scan, slices
 
 ROUNDS = 6
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
+#: Chunks whose entries meet in one task.
+GROUP = 4096
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -166,11 +168,11 @@ def _sent(chunk_id: int, buckets: np.ndarray, values: np.ndarray, many: np.ndarr
 _SENT = "bucket long, chunk_id long, entries binary, many binary"
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """For the rows of one bucket, a bit for each entry: does it occur more than once in the corpus?"""
-    entries = [np.frombuffer(x, U) for x in group["entries"].to_pylist()]
+def _values(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All entries of some rows, whether each occurs more than once, here or where it was sent from, and where rows end."""
+    entries = [np.frombuffer(x, U) for x in rows["entries"].to_pylist()]
     sizes = [len(x) for x in entries]
-    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(group["many"].to_pylist(), sizes)]).astype(bool)
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows["many"].to_pylist(), sizes)]).astype(bool)
     values = np.concatenate(entries)
     order = np.argsort(values)
     ordered = values[order]
@@ -180,19 +182,60 @@ def _shared(group: pa.Table) -> pa.Table:
     again[:-1] |= same
     shared = many.copy()
     shared[order] |= again
-    cuts = np.cumsum(sizes)[:-1]
-    return pa.table(
-        {
-            "chunk_id": group["chunk_id"],
-            "bucket": group["bucket"],
-            "shared": pa.array([np.packbits(x).tobytes() for x in np.split(shared, cuts)], pa.binary()),
-        }
-    )
+    return values, shared, np.cumsum(sizes)[:-1]
+
 
+def _distinct(values: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and whether any place of each is shared."""
+    unique, inverse = np.unique(values, return_inverse=True)
+    any_ = np.zeros(len(unique), bool)
+    any_[inverse[shared]] = True
+    return unique, any_
+
+
+def _answer(rows: pa.Table, bits: list[np.ndarray]) -> pa.Table:
+    return pa.table({"chunk_id": rows["chunk_id"], "bucket": rows["bucket"], "shared": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """For the rows of one bucket, a bit for each entry: does it occur more than once in the corpus?"""
+    _, shared, cuts = _values(rows)
+    return _answer(rows, np.split(shared, cuts))
 
-def _answered(sent: DataFrame, name: str) -> DataFrame:
-    """Bits for each chunk, as a list over buckets."""
-    bits = sent.groupBy("bucket").applyInArrow(_shared, "chunk_id long, bucket long, shared binary")
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """The rows of one bucket and group of chunks as one row, as if the group were a chunk."""
+    unique, many = _distinct(*_values(rows)[:2])
+    return pa.table({"bucket": rows["bucket"][:1], "chunk_id": rows["part"][:1], "entries": pa.array([unique.tobytes()], pa.binary()), "many": pa.array([np.packbits(many).tobytes()], pa.binary())})
+
+
+def _dealt(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    """For the rows of one bucket and group of chunks, the group's answer for each entry."""
+    values, shared, cuts = _values(rows)
+    unique, _ = _distinct(values, shared)
+    bits = np.unpackbits(np.frombuffer(answers["shared"][0].as_py(), np.uint8), count=len(unique)).astype(bool)
+    return _answer(rows, np.split(bits[np.searchsorted(unique, values)], cuts))
+
+
+_SHARED = "chunk_id long, bucket long, shared binary"
+
+
+def _answered(sent: DataFrame, name: str, chunks: int) -> DataFrame:
+    """Bits for each chunk, as a list over buckets.
+
+    An entry that every chunk holds would bring one for each of them into its bucket. So chunks of
+    a large corpus are dealt into groups of some ``GROUP``; a group sums up its entries by bucket,
+    the groups' sums meet, and each group deals the answers to its chunks. No task then holds more
+    than ``GROUP`` places of an entry, or one for each group.
+    """
+    groups = -(-chunks // GROUP)
+    if groups <= 1:
+        bits = sent.groupBy("bucket").applyInArrow(_shared, _SHARED)
+    else:
+        sent = written(sent.withColumn("part", F.pmod("chunk_id", F.lit(groups))), f"sent-{name}")
+        sums = sent.groupBy("bucket", "part").applyInArrow(_summed, _SENT)
+        answers = sums.groupBy("bucket").applyInArrow(_shared, _SHARED).withColumnRenamed("chunk_id", "part")
+        bits = sent.groupBy("bucket", "part").cogroup(answers.groupBy("bucket", "part")).applyInArrow(_dealt, _SHARED)
     return bits.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "shared")).alias(name))
 
 
@@ -259,7 +302,7 @@ def repeated_windows(documents: DataFrame, window: int, finish: Callable[[pa.Arr
     """Finds all windows that occur more than once and hands each chunk with its words to remove to ``finish``."""
     spark: SparkSession = documents.sparkSession
     table = chunks(documents, "chunks")
-    total = table.agg(F.sum("n_bytes")).first()[0] or 0
+    total, number = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     n = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
 
     def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +327,9 @@ def repeated_windows(documents: DataFrame, window: int, finish: Callable[[pa.Arr
             np.add.at(edge, repeated + window, -1)
             yield finish(doc_ids.values, texts.values, chunk, np.cumsum(edge)[: chunk.size] > 0)
 
-    keys = checkpointed(_answered(table.select("chunk_id", "texts").mapInArrow(reveal, _SENT), "keys"))
+    keys = checkpointed(_answered(table.select("chunk_id", "texts").mapInArrow(reveal, _SENT), "keys", number))
     keyed = table.join(keys, "chunk_id", "left")
-    windows = checkpointed(_answered(keyed.select("chunk_id", "texts", "keys").mapInArrow(verify, _SENT), "windows"))
+    windows = checkpointed(_answered(keyed.select("chunk_id", "texts", "keys").mapInArrow(verify, _SENT), "windows", number))
     return keyed.join(windows, "chunk_id", "left").select("doc_ids", "texts", "keys", "windows").mapInArrow(remove, schema)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import palimpsest.llm.substring_dedup as module
 from palimpsest.llm.substring_dedup import digest, substring_dedup
 
 SCHEMA = "doc_id long, text string"
@@ -43,6 +44,15 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, digest(df, window).collect())) == brute(rows, window)
 
 
+def test_groups_of_chunks_give_the_same(spark, monkeypatch):
+    rows = corpus(4, 90)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    monkeypatch.setattr(module, "CHUNK_BYTES", 600)
+    for group in (1, 3, 1000):
+        monkeypatch.setattr(module, "GROUP", group)
+        assert sorted(map(tuple, digest(df, 10).collect())) == brute(rows, 10)
+
+
 def test_extra_columns_and_text(spark):
     rows = [(1, " ".join(f"w{i}" for i in range(40)), "z"), (2, "begin " + " ".join(f"w{i}" for i in range(40)) + " end", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, chunk_id string")
