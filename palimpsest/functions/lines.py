@@ -148,6 +148,11 @@ def snippet(text: Column, most: int = 72) -> Column:
     return F.when(F.char_length(s) <= most, s).otherwise(F.concat(F.rtrim(F.substring(s, 1, most - 1)), F.lit("...")))
 
 
+def decimals(number: Column, places: int) -> Column:
+    """A number with fixed places, ties to the even digit; null for null."""
+    return F.when(number.isNotNull(), F.format_string(f"%.{places}f", F.bround(number.cast("double"), places)))
+
+
 def preview(text: Column, most: int = 80) -> Column:
     t = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     return F.when(F.coalesce(text, F.lit("")) == "", None).when(F.char_length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, most - 3), F.lit("...")))

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from palimpsest.config import CompareConfig
 from palimpsest.functions import normalize, similarity
@@ -140,7 +141,8 @@ def assign(scored: DataFrame, source: DataFrame, target: DataFrame, cfg: Compare
 
     The objective: first as many links as the edges allow, up to one fewer than the smaller
     side; then the most total weight. Each page is solved alone; only where all pages together
-    link the whole smaller side may one link go, that whose loss gains most.
+    link the whole smaller side may one link go, that whose loss gains most. Edges without a rival
+    at either end are links whatever else is, so only the others are solved.
     """
     keys = ["pair_id"] if cfg.cross_page else ["pair_id", "page_number"]
     kind = scored.schema["pair_id"].dataType.simpleString()
@@ -167,7 +169,12 @@ def assign(scored: DataFrame, source: DataFrame, target: DataFrame, cfg: Compare
             }
         )
 
-    solved = scored.select(*keys, "s_ord", "t_ord", "composite").groupBy(*keys).applyInPandas(solve, _ASSIGNED.format(kind))
+    rivals = lambda end: F.count("*").over(W.partitionBy(*keys, end))
+    edges = scored.select(*keys, "s_ord", "t_ord", "composite").withColumn("alone", (rivals("s_ord") == 1) & (rivals("t_ord") == 1))
+    page = F.col("page_number") if "page_number" in keys else F.lit(0)
+    sure = [F.lit(True).alias("full"), F.lit(True).alias("short"), F.lit(-1.0).alias("gain")]
+    alone = edges.filter("alone").select("pair_id", page.cast("int").alias("page_number"), F.col("s_ord").cast("long").alias("s_ord"), F.col("t_ord").cast("long").alias("t_ord"), *sure)
+    solved = edges.filter("NOT alone").drop("alone").groupBy(*keys).applyInPandas(solve, _ASSIGNED.format(kind)).unionByName(alone)
     sizes = source.groupBy("pair_id").agg(F.count("*").alias("n")).join(target.groupBy("pair_id").agg(F.count("*").alias("m")), "pair_id")
     best = solved.groupBy("pair_id").agg(
         F.sum(F.col("full").cast("int")).alias("links"), F.max(F.struct("gain", (-F.col("page_number")).alias("page"))).alias("best")
@@ -206,8 +213,6 @@ def greedy_links(source: DataFrame, target: DataFrame, min_score: float, *, cut)
     k-th in the target, by a join on rank. Only what is left is scored, and only where the
     lengths alone allow the least score.
     """
-    from pyspark.sql.window import Window as W
-
     def numbered(df: DataFrame, side: str) -> DataFrame:
         rank = F.row_number().over(W.partitionBy("pair_id", "normalized").orderBy("ord"))
         return df.select("pair_id", F.col("ord").alias(side), "normalized", rank.alias("k"))

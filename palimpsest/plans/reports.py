@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import geometry, normalize
 from palimpsest.functions import lines as L
-from palimpsest.operators import batch, display, evaluate, extract, fields, pages, spatial, textdiff
+from palimpsest.operators import batch, display, evaluate, extract, fields, pages, spatial, textdiff, validate
 from palimpsest.plans import oracle, sheets, sinks
 from palimpsest.sources import fixtures, recognition
 
@@ -72,6 +72,28 @@ def token_fields(spark: SparkSession, sf: str) -> DataFrame:
     return fields.token_fields(rows).select("field_id", "field_type", "value", "normalized_value")
 
 
+def word_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of word rows, among rows of other levels, blank words and confidences out of range."""
+    words = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", r"(?U)\s")).alias("n", "text"))
+    rows = words.withColumns({"level": F.when(F.col("n") % 7 == 6, 4).otherwise(5), "conf": F.col("n") % 110 - 5, "line": F.floor(F.col("n") / 8), "bbox": geometry.box(F.col("n") * 10, F.col("n") % 3, F.col("n") * 10 + 9, F.lit(12))})
+    made = recognition.lines_from_words(recognition.word_level(rows), ["item_id", "line"], "n")
+    return made.select("item_id", "line", "text", _whole(F.col("confidence")).alias("confidence"), F.col("bbox.x1").cast("long").alias("x1"), F.col("bbox.x2").cast("long").alias("x2"))
+
+
+def region_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of the regions of document trees whose even pages have lines and odd ones only tokens."""
+    none = F.lit(None)
+    box = geometry.box(F.col("ord"), F.lit(0), F.col("ord") + 5, F.lit(5))
+    unit = F.struct(F.col("text"), F.lit(0.5).alias("confidence"), box.alias("bbox"))
+    page = _lines(spark, sf).groupBy("pair_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", unit.alias("u")))).alias("units"))
+    whole = F.transform("units", lambda x: F.struct(none.cast("string").alias("id"), x["u"]["text"].alias("text"), x["u"]["confidence"].alias("confidence"), x["u"]["bbox"].alias("bbox")))
+    part = F.transform("units", lambda x: F.struct(x["u"]["text"].alias("text"), x["u"]["confidence"].alias("confidence"), x["u"]["bbox"].alias("bbox")))
+    even = F.col("page") % 2 == 0
+    tree = F.struct(F.col("page").alias("page_number"), F.when(even, whole).otherwise(F.array()).alias("lines"), part.alias("tokens"))
+    docs = page.groupBy(F.col("pair_id").cast("string").alias("document_id")).agg(F.array_sort(F.collect_list(tree)).alias("pages"))
+    return recognition.region_fields(recognition.regions(docs)).select("field_id", F.col("page_number").cast("long").alias("page_number"), "value")
+
+
 def page_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Lines on odd pages, looked up by page."""
     rows = _lines(spark, sf).select(F.col("pair_id").alias("document_id"), F.col("page").alias("page_number"), "ord")
@@ -145,6 +167,14 @@ def extract_labelled_unique(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("pair_id", "rule_id", "normalized_label", "normalized_value", _whole(F.col("field_confidence")).alias("confidence"))
 
 
+def ungrounded_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers and outcomes that a text claims but its report does not hold."""
+    key = F.col("event_id")
+    claim = F.concat(F.lit("In all "), (key % 5).cast("string"), F.lit(" of "), key.cast("string"), F.lit(" fields (3.5 %) are changed value, "), F.when(key % 2 == 0, "none missing_in_target").otherwise("the rest uncertain"))
+    report = F.concat(F.lit("total 0"), key.cast("string"), F.lit(" changed_value 1; uncertain 2"))
+    return table(spark, sf, "events").select("event_id", F.array_join(F.array_sort(validate.ungrounded(claim, report)), ",").alias("ungrounded"))
+
+
 # Geometry.
 
 
@@ -245,6 +275,12 @@ def macro_scores(spark: SparkSession, sf: str) -> DataFrame:
     return row.select("gold_fields", _whole(F.col("field_accuracy")).alias("field_accuracy"), _whole(F.col("macro_f1")).alias("macro_f1"))
 
 
+def score_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells of the table of scores, with six places."""
+    rows = evaluate.precision_recall(evaluate.counts(_gold(spark, sf)))
+    return rows.select("label", *[sinks.fixed(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def failure_categories(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.category_counts(evaluate.error_taxonomy(_gold(spark, sf)))
 
@@ -351,8 +387,8 @@ def sheet_text_report(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        recognised_lines, hybrid_lines, span_lines, token_fields, page_regions, normalize_marks, normalize_notes, normalize_labels, field_backfill, line_previews, extract_labelled, extract_labelled_unique,
-        box_measures, region_remap, tile_regions, page_sizes, line_directions, page_pairs, result_slices, provider_figures, provider_ranking, model_costs, macro_scores, failure_categories, failure_rationales,
+        recognised_lines, hybrid_lines, span_lines, token_fields, word_lines, region_rows, page_regions, normalize_marks, normalize_notes, normalize_labels, field_backfill, line_previews, extract_labelled, extract_labelled_unique,
+        box_measures, region_remap, tile_regions, page_sizes, line_directions, page_pairs, result_slices, provider_figures, provider_ranking, model_costs, macro_scores, score_cells, ungrounded_claims, failure_categories, failure_rationales,
         failure_report, gold_predictions, gold_membership, batch_outcomes, batch_totals, isolated_failures, pair_rows, sheet_sentences, legend_counts, annotation_anchors, extras_without_reports,
         sheet_top_snippets, sheet_text_report,
     )
@@ -427,6 +463,12 @@ SELECT pair_id AS document_id, 'p' || page || '-l' || (ord % 10) AS line_id, len
 SELECT pair_id AS document_id, ord, trim(array_to_string(list_filter(list_transform(parts, lambda x: trim(x)), lambda x: x <> ''), ' ')) AS text, list_max(list_filter(range(len(parts)), lambda i: trim(parts[i + 1]) <> '')) * 10 + 8 AS x2 FROM w""",
     "token_fields": f"""WITH w AS (SELECT item_id, {_WORDS.format('text')} AS ws FROM benchmark)
 SELECT 'token:' || item_id || ':1:' || (i - 1) AS field_id, 'ocr_token' AS field_type, ws[i] AS value, lower(ws[i]) AS normalized_value FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)""",
+    "word_lines": r"""WITH w AS (SELECT item_id, unnest(p) AS text, generate_subscripts(p, 1) - 1 AS n FROM (SELECT item_id, regexp_split_to_array(text, '[\s\x0b]') AS p FROM benchmark)),
+k AS (SELECT *, n // 8 AS line FROM w WHERE n % 7 <> 6 AND trim(text) <> '')
+SELECT item_id, line, string_agg(text, ' ' ORDER BY n) AS text, floor(round(avg(CASE WHEN n % 110 < 5 THEN 0 ELSE least(1, (n % 110 - 5) / 100) END), 6) * 10000 + 0.5)::BIGINT AS confidence, min(n) * 10 AS x1, max(n) * 10 + 9 AS x2 FROM k GROUP BY 1, 2""",
+    "region_rows": f"WITH {oracle.LINES} SELECT pair_id || ':' || page || ':' || (row_number() OVER (PARTITION BY pair_id, page ORDER BY ord) - 1) AS field_id, page::BIGINT AS page_number, text AS value FROM lines",
+    "ungrounded_claims": """SELECT event_id, array_to_string(list_sort(list_filter([CASE WHEN (event_id % 5) NOT IN (event_id, 1, 2) THEN (event_id % 5)::VARCHAR END, CASE WHEN event_id % 2 = 0 THEN 'missing_in_target' END], lambda x: x IS NOT NULL)), ',') AS ungrounded FROM events""",
+    "score_cells": f"WITH {oracle.COUNTS} SELECT label, format('{{:.6f}}', p::DOUBLE) AS precision, format('{{:.6f}}', rc::DOUBLE) AS recall, format('{{:.6f}}', CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END::DOUBLE) AS f1 FROM r",
     "page_regions": f"WITH {oracle.LINES} SELECT pair_id AS document_id, count(*) AS regions FROM lines WHERE page % 2 = 1 GROUP BY 1",
     "normalize_marks": f"WITH {oracle.LINES} SELECT pair_id, ord, trim({_MARKS}) AS normalized FROM lines",
     "normalize_notes": f"""SELECT l_orderkey, l_linenumber,

@@ -14,6 +14,7 @@ from palimpsest.config import CompareConfig
 from palimpsest.functions import similarity
 from palimpsest.functions.lines import normalized
 from palimpsest.operators import classify, compare, matching, textdiff
+from palimpsest.plans import sinks
 from palimpsest.scratch import checkpointed
 from palimpsest.sources import fixtures
 
@@ -72,6 +73,29 @@ def sheet_flags(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("pair_id", "field_reference", "type", "severity", _scaled(F.col("confidence")).alias("confidence"))
 
 
+def sheet_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """The reasons of outcomes as text."""
+    return _results(spark, sf).select("pair_id", "s_ord", "t_ord", "reason")
+
+
+def sheet_flag_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """The reasons of flags as text, in the order of a report."""
+    rows = classify.ordered(classify.flags(classify.with_certainties(_results(spark, sf))))
+    return rows.select("pair_id", "field_reference", "type", "reason")
+
+
+def sheet_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What the JSON report of each sheet holds: counts, rows of sections, flags."""
+    results = _results(spark, sf)
+    rows = sinks.json_reports(results, classify.summary(results), classify.flags(classify.with_certainties(results)))
+    get = lambda path: F.get_json_object("report", path)
+    size = lambda path: F.coalesce(F.json_array_length(get(path)), F.lit(0)).cast("long")
+    return rows.select(
+        "pair_id", get("$.schema_version").alias("version"), get("$.summary.matched").cast("long").alias("matched"), *[size(f"$.sections.{n}").alias(n) for n in ("changed", "partial", "missing", "extra", "uncertain")],
+        size("$.flags").alias("flags"), get("$.sections.missing[0].s_field_id").alias("first_missing"),
+    )
+
+
 def sheet_summary(spark: SparkSession, sf: str) -> DataFrame:
     return classify.summary(_results(spark, sf))
 
@@ -104,7 +128,7 @@ def sheet_recap(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sheet_ratios, sheet_breakdown, sheet_assignment, sheet_results, sheet_flags, sheet_summary, sheet_legacy, sheet_differences, sheet_difference_summary, sheet_recap,
+        sheet_ratios, sheet_breakdown, sheet_assignment, sheet_results, sheet_reasons, sheet_flags, sheet_flag_reasons, sheet_report, sheet_summary, sheet_legacy, sheet_differences, sheet_difference_summary, sheet_recap,
     )
 }
 
@@ -179,9 +203,10 @@ RESULTS = f"""{LINKS}, linked AS (
     least(1e0, greatest(0e0, total)) AS base FROM scored JOIN link USING (pair_id, i, j)
 ), results AS (
   SELECT pair_id, i AS s_ord, j AS t_ord, kind, CASE kind WHEN 'exact_match' THEN greatest(base, least(1e0, (ls + vs) / 2)) WHEN 'changed_value' THEN greatest(0e0, least(1e0, 0.55e0 + 0.45e0 * ls)) WHEN 'partial_match' THEN greatest(0e0, least(1e0, 0.45e0 + 0.55e0 * base))
-    WHEN 'uncertain' THEN greatest(0e0, least(1e0, 0.35e0 + 0.4e0 * base)) ELSE base END AS conf FROM linked
-  UNION ALL SELECT pair_id, ord, NULL, 'missing_in_target', 1e0 FROM s WHERE NOT EXISTS (SELECT 1 FROM link WHERE link.pair_id = s.pair_id AND link.i = s.ord)
-  UNION ALL SELECT pair_id, NULL, ord, 'extra_in_target', 1e0 FROM t WHERE NOT EXISTS (SELECT 1 FROM link WHERE link.pair_id = t.pair_id AND link.j = t.ord)
+    WHEN 'uncertain' THEN greatest(0e0, least(1e0, 0.35e0 + 0.4e0 * base)) ELSE base END AS conf,
+    format('classification={{}}; normalized_label_similarity={{:.3f}}; normalized_value_similarity={{:.3f}}; token_overlap={{:.3f}}; regex_compatibility={{:.3f}}; composite={{:.3f}}', kind, ls, vs, tov, rc, total) AS reason FROM linked
+  UNION ALL SELECT pair_id, ord, NULL, 'missing_in_target', 1e0, 'classification=missing_in_target' FROM s WHERE NOT EXISTS (SELECT 1 FROM link WHERE link.pair_id = s.pair_id AND link.i = s.ord)
+  UNION ALL SELECT pair_id, NULL, ord, 'extra_in_target', 1e0, 'classification=extra_in_target' FROM t WHERE NOT EXISTS (SELECT 1 FROM link WHERE link.pair_id = t.pair_id AND link.j = t.ord)
 )"""
 
 FLAGS = f"""{RESULTS}, f AS (
@@ -244,6 +269,18 @@ SQL: dict[str, str] = {
     "sheet_breakdown": f"WITH {SIGNALS} SELECT pair_id, i AS s_ord, j AS t_ord, {S4.format('ls')} AS label_similarity, {S4.format('vs')} AS value_similarity, {S4.format('tov')} AS token_overlap, {S4.format('rc')} AS regex_compatibility, {S4.format('total')} AS composite FROM cand",
     "sheet_assignment": f"WITH RECURSIVE {LINKS} SELECT pair_id, i AS s_ord, j AS t_ord FROM link",
     "sheet_results": f"WITH RECURSIVE {RESULTS} SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY CASE WHEN s_ord IS NULL THEN 2 WHEN t_ord IS NULL THEN 1 ELSE 0 END, s_ord, t_ord) - 1 AS result_ord, s_ord, t_ord, kind AS match_type, {S4.format('conf')} AS confidence FROM results",
+    "sheet_reasons": f"WITH RECURSIVE {RESULTS} SELECT pair_id, s_ord, t_ord, reason FROM results",
+    "sheet_flag_reasons": f"""WITH RECURSIVE {FLAGS}, told AS (SELECT *, format('match_confidence={{:.3f}}', conf) AS at_, format('value_similarity={{:.3f}}; label_certainty={{:.3f}}', v, l) AS both_,
+  format('field_type={{}}; critical_field={{}}; match_confidence=1.000', CASE WHEN coalesce(s_ord, t_ord) = 0 THEN 'title_block' ELSE 'ocr_region' END, CASE WHEN coalesce(s_ord, t_ord) = 0 THEN 'True' ELSE 'False' END) AS alone_ FROM g)
+SELECT pair_id, reference AS field_reference, CASE kind WHEN 'missing_in_target' THEN 'missing_information' WHEN 'extra_in_target' THEN 'extra_information' WHEN 'changed_value' THEN 'changed_value' ELSE 'ambiguous_match' END AS type,
+  CASE kind WHEN 'missing_in_target' THEN '[rule:missing_information] Source field absent on target drawing; ' || alone_ WHEN 'extra_in_target' THEN '[rule:extra_information] Target field has no aligned source counterpart; ' || alone_
+    WHEN 'changed_value' THEN '[rule:changed_value] Value differs between source and target under aligned labels; ' || both_ || '; ' || at_ || '; engine=' || reason
+    WHEN 'uncertain' THEN '[rule:ambiguous_match] match_type=uncertain; ' || at_ || '; ' || both_ || '; engine=' || reason
+    ELSE '[rule:partial_match_review] Partial textual match; confirm semantic equivalence; ' || both_ || '; ' || at_ || '; engine=' || reason END AS reason FROM told WHERE kind <> 'exact_match'
+UNION ALL SELECT pair_id, reference, 'possible_error', '[rule:possible_error_low_confidence] Low match confidence; possible OCR noise or wrong alignment; match_type=' || kind || '; ' || at_ || '; ' || both_ FROM told WHERE kind NOT IN ('missing_in_target', 'extra_in_target') AND conf < 0.55""",
+    "sheet_report": f"""WITH RECURSIVE {FLAGS}, n AS (SELECT pair_id, count(*) FILTER (WHERE kind IN ('exact_match', 'partial_match')) AS matched, count(*) FILTER (WHERE kind = 'changed_value') AS changed, count(*) FILTER (WHERE kind = 'partial_match') AS partial,
+  count(*) FILTER (WHERE kind = 'missing_in_target') AS missing, count(*) FILTER (WHERE kind = 'extra_in_target') AS extra, count(*) FILTER (WHERE kind = 'uncertain') AS uncertain, 's:' || pair_id || ':' || min(s_ord) FILTER (WHERE kind = 'missing_in_target') AS first_missing FROM results GROUP BY pair_id),
+c AS (SELECT pair_id, count(*) AS flags FROM flag GROUP BY 1) SELECT pair_id, '1.0' AS version, matched, changed, partial, missing, extra, uncertain, coalesce(flags, 0) AS flags, first_missing FROM n LEFT JOIN c USING (pair_id)""",
     "sheet_flags": f"WITH RECURSIVE {FLAGS} SELECT pair_id, reference AS field_reference, type, severity, {S4.format('conf')} AS confidence FROM flag",
     "sheet_summary": f"""WITH RECURSIVE {RESULTS} SELECT pair_id, count(*) FILTER (WHERE kind <> 'extra_in_target') AS total_source, count(*) FILTER (WHERE kind IN ('exact_match', 'partial_match')) AS matched, count(*) FILTER (WHERE kind = 'changed_value') AS changed,
   count(*) FILTER (WHERE kind = 'missing_in_target') AS missing, count(*) FILTER (WHERE kind = 'extra_in_target') AS extra, count(*) FILTER (WHERE kind = 'uncertain') AS uncertain FROM results GROUP BY pair_id""",

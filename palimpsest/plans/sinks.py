@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.lines import decimals
+from palimpsest.operators.display import percentage
+
 SECTIONS = {"changed_value": "changed", "partial_match": "partial", "missing_in_target": "missing", "extra_in_target": "extra", "uncertain": "uncertain"}
 
 
@@ -33,7 +36,7 @@ def cell(text: Column) -> Column:
 
 def markdown_rows(results: DataFrame) -> DataFrame:
     """A table line a result, reasons cut at 200 characters."""
-    line = F.concat_ws(" | ", cell(F.col("match_type")), cell(F.col("s_value")), cell(F.col("t_value")), F.format_string("%.0f%%", F.col("confidence") * 100), cell(F.substring("reason", 1, 200)))
+    line = F.concat_ws(" | ", cell(F.col("match_type")), cell(F.col("s_value")), cell(F.col("t_value")), percentage(F.col("confidence")), cell(F.substring("reason", 1, 200)))
     return results.select("pair_id", "s_ord", "t_ord", F.concat(F.lit("| "), line, F.lit(" |")).alias("line"))
 
 
@@ -46,7 +49,7 @@ def executive_sentence(summary: DataFrame) -> DataFrame:
 
 def fixed(c: Column, places: int = 6) -> Column:
     """A number with fixed places, or nothing."""
-    return F.when(c.isNotNull(), F.format_string(f"%.{places}f", c)).otherwise("")
+    return F.coalesce(decimals(c, places), F.lit(""))
 
 
 def write_evaluation(path: str, labels: DataFrame, matrix: DataFrame, summary: DataFrame) -> None:
@@ -92,7 +95,7 @@ def text_diff_markdown(diff: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     from pyspark.sql.window import Window as W
 
     place = W.partitionBy("pair_id", "kind").orderBy(F.coalesce("s_ord", "t_ord"), "t_ord")
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", cell(F.col("s_text")), cell(F.col("t_text")), F.when(F.col("score").isNotNull(), F.format_string("%.1f", F.col("score"))).otherwise("-")), F.lit(" |"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", cell(F.col("s_text")), cell(F.col("t_text")), F.coalesce(decimals(F.col("score"), 1), F.lit("-"))), F.lit(" |"))
     rows = diff.filter("kind <> 'matched'").select("pair_id", "kind", F.row_number().over(place).alias("n"), line.alias("line"))
     table = rows.groupBy("pair_id", "kind").agg(F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.struct("n", "line")))).alias("lines"), F.count("*").alias("all"))
     body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
@@ -149,7 +152,7 @@ def markdown_reports(rows: DataFrame, summary: DataFrame, flagged: DataFrame) ->
 
     Rows of a section stand in order of place; reasons of flags are cut at 200 characters.
     """
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(F.coalesce(c, F.lit("—"))) for c in ("on_source_drawing", "on_target_drawing")], F.format_string("%.0f%%", F.col("match_confidence") * 100), cell(F.col("ocr_confidence"))), F.lit(" |"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(F.coalesce(c, F.lit("—"))) for c in ("on_source_drawing", "on_target_drawing")], percentage(F.col("match_confidence")), cell(F.col("ocr_confidence"))), F.lit(" |"))
     by_kind = rows.groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("technical_match_type") == k, F.struct(F.coalesce("s_ord", "t_ord").alias("o"), "t_ord", line.alias("line"))))).alias(f"rows_{k}") for k, _, _ in RESULT_SECTIONS])
     flag = F.concat(F.lit("| "), F.concat_ws(" | ", "severity", "type", cell(F.col("field_reference")), cell(F.substring("reason", 1, 200))), F.lit(" |"))
     flags = flagged.groupBy("pair_id").agg(F.array_sort(F.collect_list(flag)).alias("flags"))
