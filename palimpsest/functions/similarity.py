@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 @lru_cache(maxsize=4096)
@@ -29,17 +29,20 @@ def _places(text: str) -> dict[str, int]:
 
 
 def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, with bits that are 0 where the row increases."""
+    """Length of the longest common subsequence, with bits that are 0 where the row increases.
+
+    The longer string makes the bits, since a step costs little more for more of them. Carries
+    beyond the bits meet no character and are cut off at the end.
+    """
     if a == b:
         return len(a)
-    if len(a) > len(b):
+    if len(a) < len(b):
         a, b = b, a
-    places, full = _places(a), (1 << len(a)) - 1
-    rest = full
-    for c in b:
-        if hit := rest & places.get(c, 0):
-            rest = (rest + hit | rest - hit) & full
-    return len(a) - rest.bit_count()
+    rest = full = (1 << len(a)) - 1
+    for at in filter(None, map(_places(a).get, b)):
+        hit = rest & at
+        rest = rest + hit | rest - hit
+    return len(a) - (rest & full).bit_count()
 
 
 def ratio_of(a: str, b: str) -> float:
@@ -70,11 +73,10 @@ class Lanes:
 
     def common(self, text: str) -> list[int]:
         """Length of the longest common subsequence of the text with each string."""
-        places, full = self.places, self.full
-        rest = full
-        for c in text:
-            if hit := rest & places.get(c, 0):
-                rest = (rest + hit | rest - hit) & full
+        rest = full = self.full
+        for at in filter(None, map(self.places.get, text)):
+            hit = rest & at
+            rest = (rest + hit | rest - hit) & full
         return [n - ((rest >> a) & ((1 << n) - 1)).bit_count() for n, a in zip(self.sizes, self.starts)]
 
 
@@ -110,6 +112,94 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 ratio = ratio.asNondeterministic()
 
 
+def _lane_matrix(a: list[str], b: list[str]) -> np.ndarray:
+    """Common subsequence lengths of all strings of a with all of b."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    group, bits, first = [], 0, 0
+    for j, y in enumerate(b):
+        group.append(y)
+        bits += len(y) + 1
+        if bits >= LANE_BITS or j == len(b) - 1:
+            side = Lanes(tuple(group))
+            seen: dict[str, list[int]] = {}
+            for i, x in enumerate(a):
+                if (found := seen.get(x)) is None:
+                    found = seen[x] = side.common(x)
+                out[i, first : j + 1] = found
+            group, bits, first = [], 0, j + 1
+    return out
+
+
+def _text_matrix(a: list[str], b: list[str], sorted_a: list[str], sorted_b: list[str]) -> np.ndarray:
+    """:func:`text_similarity` of all pairs, with the strings' sorted tokens at hand."""
+    n, m = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out = np.where((n[:, None] == 0) & (m == 0), 1.0, 0.0)
+    if not (n.any() and m.any()):
+        return out
+    size = n[:, None] + m
+    plain = 200.0 * _lane_matrix(a, b) / np.maximum(size, 1)
+    of_tokens = np.array([len(x) for x in sorted_a])[:, None] + np.array([len(x) for x in sorted_b])
+    tokens = 200.0 * _lane_matrix(sorted_a, sorted_b) / np.maximum(of_tokens, 1)
+    tokens[of_tokens == 0] = 100.0
+    given = (n[:, None] > 0) & (m > 0)
+    return np.where(given, np.maximum(plain, tokens) / 100, out)
+
+
+def _overlap_matrix(words_a: list[str], words_b: list[str], alnum_a: list[str], alnum_b: list[str]) -> np.ndarray:
+    """:func:`token_overlap` of all pairs, from sorted distinct tokens, joined by spaces."""
+    sets_a, sets_b = [x.split(" ") if x else [] for x in words_a], [x.split(" ") if x else [] for x in words_b]
+    keys_a, keys_b = [set(x) for x in sets_a], [set(x) for x in sets_b]
+    own_a, own_b = [set(x.split(" ")) if x else set() for x in alnum_a], [set(x.split(" ")) if x else set() for x in alnum_b]
+    whole = _lane_matrix(words_a, words_b)
+    out = np.empty((len(sets_a), len(sets_b)))
+    for i, ka in enumerate(keys_a):
+        na = own_a[i]
+        for j, kb in enumerate(keys_b):
+            nb = own_b[j]
+            if not na or not nb:
+                out[i, j] = 0.0 if na or nb else 1.0
+                continue
+            both = len(na & nb)
+            jaccard_share = both / max(len(na) + len(nb) - both, 1)
+            out[i, j] = min(1.0, 0.5 * jaccard_share + _set_ratio(sets_a[i], ka, sets_b[j], kb, words_a[i], words_b[j], int(whole[i, j])) / 200)
+    return out
+
+
+def _set_ratio(a: list[str], in_a: set[str], b: list[str], in_b: set[str], text_a: str, text_b: str, whole: int) -> float:
+    """:func:`token_set_of` of two sorted token lists; whole is the common subsequence of all tokens, which holds where none is shared."""
+    if not a or not b:
+        return 0.0
+    if in_a.isdisjoint(in_b):
+        return 200.0 * whole / max(len(text_a) + len(text_b), 1)
+    x, y = " ".join(w for w in a if w not in in_b), " ".join(w for w in b if w not in in_a)
+    if not x or not y:
+        return 100.0
+    n = sum(len(w) + 1 for w in a if w in in_b) - 1
+    lead = n + 1
+    together = 200.0 * (common_subsequence(x, y) + lead) / max(2 * lead + len(x) + len(y), 1)
+    return max(together, 200.0 * n / (n + lead + len(x)), 200.0 * n / (n + lead + len(y)))
+
+
+#: What the scores of blocks are made from, on both sides: texts of labels and values, their sorted tokens, and sets of tokens joined by spaces.
+BLOCK_TEXTS = ("label", "value", "sorted_label", "sorted_value", "words", "alnum")
+
+
+BLOCK_SCORES = ("label_similarity", "value_similarity", "token_overlap")
+
+
+@F.pandas_udf(StructType([StructField(n, ArrayType(DoubleType())) for n in BLOCK_SCORES]))
+def block_scores(*columns: pd.Series) -> pd.DataFrame:
+    """For two blocks of records, as arrays of BLOCK_TEXTS of the one and of the other: three scores of all pairs, row by row."""
+    out = []
+    for row in zip(*columns):
+        (la, va, sla, sva, wa, na), (lb, vb, slb, svb, wb, nb) = ([list(x) for x in side] for side in (row[:6], row[6:]))
+        out.append([m.ravel() for m in (_text_matrix(la, lb, sla, slb), _text_matrix(va, vb, sva, svb), _overlap_matrix(wa, wb, na, nb))])
+    return pd.DataFrame(out, columns=list(BLOCK_SCORES))
+
+
+block_scores = block_scores.asNondeterministic()  # as ratio
+
+
 def sorted_tokens(text: Column) -> Column:
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
     return F.array_join(F.array_sort(words), " ")

@@ -26,43 +26,46 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def _prepared(df: DataFrame, side: str, keys: list[str]) -> DataFrame:
-    """A side's columns, with all that depends on one record alone computed once a record."""
+#: Records of one side in a block; blocks of a page are scored with each other, so a row stays small however dense its page is.
+BLOCK = 32
+
+
+def _blocks(df: DataFrame, side: str, keys: list[str]) -> DataFrame:
+    """A side's records in blocks, as arrays, with all that depends on one record alone computed once a record."""
     text = {n: F.trim(F.coalesce(F.col(n), F.lit(""))) for n in NAMES}
     label, value = text["normalized_label"], text["normalized_value"]
     joined = F.trim(F.concat_ws(" ", label, value))
     tokens = F.when(joined != "", joined).otherwise(normalize.canonical_key(text["label"], text["value"]))
     first = df.select(*keys, F.col("ord").alias("ord"), label.alias("label"), value.alias("value"), F.when(value != "", value).otherwise(text["value"]).alias("shown"), tokens.alias("tokens"))
     made = {
-        "sorted_label": similarity.sorted_tokens(F.col("label")), "sorted_value": similarity.sorted_tokens(F.col("value")), "words": similarity.token_set(F.col("tokens")),
-        "alnum": similarity.alphanumeric_set(F.col("tokens")), "kind": similarity.value_kind(F.col("shown")),
+        "sorted_label": similarity.sorted_tokens(F.col("label")), "sorted_value": similarity.sorted_tokens(F.col("value")), "words": F.array_join(similarity.token_set(F.col("tokens")), " "),
+        "alnum": F.array_join(similarity.alphanumeric_set(F.col("tokens")), " "), "kind": similarity.value_kind(F.col("shown")),
     }
-    own = first.withColumns(made)
-    return dealt(own, *keys).select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ("ord", "label", "value", *made)])
-
-
-def _text_similarity(kind: str) -> Column:
-    a, b = F.col(f"s_{kind}"), F.col(f"t_{kind}")
-    better = F.greatest(similarity.ratio(a, b), similarity.ratio(F.col(f"s_sorted_{kind}"), F.col(f"t_sorted_{kind}"))) / 100
-    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(better)
+    names = ("ord", *similarity.BLOCK_TEXTS, "kind")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("ord"))
+    numbered = dealt(first.withColumns(made).select(*keys, *names), *keys).withColumn("block", F.floor((place - 1) / BLOCK))
+    packed = numbered.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("rows"))
+    return packed.select(*keys, *[F.col(f"rows.{c}").alias(f"{side}_{c}") for c in names])
 
 
 def breakdown(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataFrame:
-    """Pairs of one comparison, and of one page unless pages may differ, with the four signals and their weighted sum."""
+    """Pairs of one comparison, and of one page unless pages may differ, with the four signals and their weighted sum.
+
+    Blocks of records are paired and scored, so that texts travel once a block and not once a pair.
+    """
     keys = ["pair_id"] if cfg.cross_page else ["pair_id", "page_number"]
-    pairs = _prepared(source, "s", keys).join(_prepared(target, "t", keys), keys)
-    parts = pairs.withColumns(similarity.token_parts(F.col("s_words"), F.col("t_words")))
-    bare = (F.col("s_label") == "") & (F.col("t_label") == "")
-    none = (F.size("s_words") == 0) | (F.size("t_words") == 0)
-    scored = parts.withColumn("set_ratio", similarity.token_set_of(none, F.col("shared"), F.col("own_x"), F.col("own_y"))).withColumns(
-        {
-            "labels_absent": bare,
-            "label_similarity": _text_similarity("label"),
-            "value_similarity": _text_similarity("value"),
-            "token_overlap": similarity.overlap_of(F.col("s_alnum"), F.col("t_alnum"), F.col("set_ratio")),
-            "regex_compatibility": similarity.kinds_compatibility(F.col("s_kind"), F.col("t_kind")),
-        }
-    )
+    met = _blocks(source, "s", keys).join(_blocks(target, "t", keys), keys)
+    scores = similarity.block_scores(*[F.col(f"{side}_{c}") for side in "st" for c in similarity.BLOCK_TEXTS])
+    names = similarity.BLOCK_SCORES
+    scored = met.withColumn("scores", scores).select(
+        *keys, *[f"{side}_{c}" for side in "st" for c in ("ord", "kind")], F.transform("s_label", lambda x: x == "").alias("s_bare"), F.transform("t_label", lambda x: x == "").alias("t_bare"),
+        F.posexplode(F.arrays_zip(*[F.col(f"scores.{n}") for n in names])).alias("at", "score"),
+    )
+    i, j = F.floor(F.col("at") / F.size("t_ord")).cast("int"), (F.col("at") % F.size("t_ord")).cast("int")
+    pairs = scored.select(
+        *keys, F.get("s_ord", i).alias("s_ord"), F.get("t_ord", j).alias("t_ord"), (F.get("s_bare", i) & F.get("t_bare", j)).alias("labels_absent"), *[F.col("score")[n].alias(n) for n in names],
+        similarity.kinds_compatibility(F.get("s_kind", i), F.get("t_kind", j)).alias("regex_compatibility"),
+    )
     rest = 1 - cfg.label_weight
     weight = lambda w: F.when(F.col("labels_absent"), w / rest).otherwise(w)
     total = (
@@ -71,7 +74,7 @@ def breakdown(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataF
         + weight(cfg.token_weight) * F.col("token_overlap")
         + weight(cfg.regex_weight) * F.col("regex_compatibility")
     )
-    return scored.select(*keys, "s_ord", "t_ord", *SIGNALS, total.alias("composite"))
+    return pairs.select(*keys, "s_ord", "t_ord", *SIGNALS, total.alias("composite"))
 
 
 def candidates(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataFrame:

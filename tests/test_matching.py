@@ -46,6 +46,36 @@ def test_recorded_signals(spark):
         assert kind != "changed_value" or r.confidence == 1.0
 
 
+def test_blocks_score_what_pairs_do(spark, monkeypatch):
+    """Signals of all pairs by the column functions; and the same whatever the size of a block."""
+    from palimpsest.functions import similarity
+
+    r = random.Random(11)
+    words = ["alpha", "beta", "b2", "gamma ray", "12 x 4", "é", "-", "", "delta-7", "x"]
+    text = lambda n: " ".join(r.choice(words) for _ in range(r.randrange(n))).strip()
+    rows = [[(p, i, g, text(6), text(3)) for p in range(4) for g in (1, 2) for i in range(7 * g, 14 * g)] for _ in range(2)]
+    source, target = (fields(spark, x) for x in rows)
+    cfg = CompareConfig.service()
+    found = {}
+    for size in (1, 3, 32):
+        monkeypatch.setattr(matching, "BLOCK", size)
+        found[size] = sorted(map(tuple, matching.breakdown(source, target, cfg).collect()))
+    assert found[1] == found[3] == found[32]
+    joined = lambda label, value: F.trim(F.concat_ws(" ", F.trim(label), F.trim(value)))
+    pairs = source.alias("s").join(target.alias("t"), ["pair_id", "page_number"])
+    s_tokens, t_tokens = (joined(F.col(f"{x}.normalized_label"), F.col(f"{x}.normalized_value")) for x in "st")
+    plain = pairs.select(
+        "pair_id", "page_number", F.col("s.ord").alias("i"), F.col("t.ord").alias("j"), similarity.text_similarity(F.col("s.normalized_label"), F.col("t.normalized_label")).alias("label"),
+        similarity.text_similarity(F.col("s.normalized_value"), F.col("t.normalized_value")).alias("value"),
+        F.when((s_tokens != "") & (t_tokens != ""), similarity.token_overlap(s_tokens, t_tokens)).alias("overlap"),
+    )
+    expected = {tuple(x)[:4]: tuple(x)[4:] for x in plain.collect()}
+    assert len(expected) == len(found[32])
+    for pair, page, i, j, _, label, value, overlap, *_ in found[32]:
+        own = expected[pair, page, i, j]
+        assert (label, value) == pytest.approx(own[:2]) and (own[2] is None or overlap == pytest.approx(own[2]))
+
+
 def best(n, m, edges):
     """The objective by brute force: links up to one fewer than the smaller side come before weight."""
     top = None
