@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 
 @lru_cache(maxsize=4096)
@@ -200,6 +200,22 @@ def block_scores(*columns: pd.Series) -> pd.DataFrame:
 block_scores = block_scores.asNondeterministic()  # as ratio
 
 
+@F.pandas_udf(StructType([StructField("i", ArrayType(IntegerType())), StructField("j", ArrayType(IntegerType())), StructField("score", ArrayType(DoubleType()))]))
+def block_ratios(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.DataFrame:
+    """For two blocks of strings, places and ratios of the pairs that have at least so much."""
+    out = []
+    for x, y, low in zip(a, b, least):
+        x, y = list(x), list(y)
+        size = np.array([len(t) for t in x])[:, None] + np.array([len(t) for t in y])
+        score = np.where(size > 0, 200.0 * _lane_matrix(x, y) / np.maximum(size, 1), 100.0)
+        i, j = np.nonzero(score >= low)
+        out.append([i.astype(np.int32), j.astype(np.int32), score[i, j]])
+    return pd.DataFrame(out, columns=["i", "j", "score"])
+
+
+block_ratios = block_ratios.asNondeterministic()
+
+
 def sorted_tokens(text: Column) -> Column:
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
     return F.array_join(F.array_sort(words), " ")

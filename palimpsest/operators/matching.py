@@ -209,23 +209,41 @@ def mutual_best(edges: DataFrame, *, cut) -> DataFrame:
     return found if found is not None else left
 
 
+def _by_length(lines: DataFrame, side: str) -> DataFrame:
+    """Blocks of a document's lines (pair_id, ord, normalized), from short ones to long ones, with the lengths that they span."""
+    size = F.char_length("normalized")
+    place = F.row_number().over(W.partitionBy("pair_id").orderBy("size", "ord"))
+    numbered = dealt(lines.select("pair_id", "ord", F.col("normalized").alias("text"), size.alias("size")), "pair_id").withColumn("block", F.floor((place - 1) / BLOCK))
+    packed = numbered.groupBy("pair_id", "block").agg(F.array_sort(F.collect_list(F.struct("size", "ord", "text"))).alias("rows"), F.min("size").alias(f"{side}_low"), F.max("size").alias(f"{side}_high"))
+    return packed.select("pair_id", F.col("rows.ord").alias(f"{side}_ords"), F.col("rows.text").alias(f"{side}_texts"), f"{side}_low", f"{side}_high")
+
+
+def line_edges(source: DataFrame, target: DataFrame, min_score: float) -> DataFrame:
+    """(pair_id, s_ord, t_ord, score) of the pairs of lines whose ratio is at least so much.
+
+    Blocks meet only where some lengths in them allow that score, and only pairs that reach it come back.
+    """
+    met = _by_length(source, "s").join(_by_length(target, "t"), "pair_id")
+    share = min_score / (200.0 - min_score)  # of the longer line that the shorter one must have
+    possible = (F.col("s_high") >= F.col("t_low") * share - 1e-9) & (F.col("t_high") >= F.col("s_low") * share - 1e-9)
+    found = met.filter(possible).withColumn("found", similarity.block_ratios("s_texts", "t_texts", F.lit(float(min_score))))
+    each = found.select("pair_id", "s_ords", "t_ords", F.explode(F.arrays_zip("found.i", "found.j", "found.score")).alias("e"))
+    return each.select("pair_id", F.get("s_ords", F.col("e.i")).alias("s_ord"), F.get("t_ords", F.col("e.j")).alias("t_ord"), F.col("e.score").alias("score"))
+
+
 def greedy_links(source: DataFrame, target: DataFrame, min_score: float, *, cut) -> DataFrame:
     """Greedy links of lines (pair_id, ord, normalized) by ratio.
 
     Equal lines score 100 and come first, in order: the k-th of a text in the source goes to the
-    k-th in the target, by a join on rank. Only what is left is scored, and only where the
-    lengths alone allow the least score.
+    k-th in the target, by a join on rank. Only what is left is scored.
     """
+
     def numbered(df: DataFrame, side: str) -> DataFrame:
         rank = F.row_number().over(W.partitionBy("pair_id", "normalized").orderBy("ord"))
         return df.select("pair_id", F.col("ord").alias(side), "normalized", rank.alias("k"))
 
     equal = cut(numbered(source, "s_ord").join(numbered(target, "t_ord"), ["pair_id", "normalized", "k"]).select("pair_id", "s_ord", "t_ord", F.lit(100.0).alias("score")))
-    rest_s = source.select("pair_id", F.col("ord").alias("s_ord"), F.col("normalized").alias("a")).join(equal.select("pair_id", "s_ord"), ["pair_id", "s_ord"], "left_anti")
-    rest_t = target.select("pair_id", F.col("ord").alias("t_ord"), F.col("normalized").alias("b")).join(equal.select("pair_id", "t_ord"), ["pair_id", "t_ord"], "left_anti")
-    la, lb = F.char_length("a"), F.char_length("b")
-    possible = 200 * F.least(la, lb) >= min_score * (la + lb)
-    edges = dealt(rest_s, "pair_id").join(dealt(rest_t, "pair_id"), "pair_id").filter(possible).withColumn("score", similarity.ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= min_score)
+    edges = line_edges(unmatched(source, equal, "s"), unmatched(target, equal, "t"), min_score)
     return equal.unionByName(mutual_best(edges, cut=cut))
 
 

@@ -149,11 +149,13 @@ def test_mutual_best_is_greedy(spark):
     assert all(got.get(c, set()) == greedy(e) for c, e in cases.items())
 
 
-def test_greedy_lines_take_equal_ones_first(spark):
+@pytest.mark.parametrize("block", [2, 32])
+def test_greedy_lines_take_equal_ones_first(spark, monkeypatch, block):
+    monkeypatch.setattr(matching, "BLOCK", block)
     from palimpsest.functions.similarity import ratio_of
 
     r = random.Random(6)
-    words = ["alpha", "beta", "beta x", "betas", "gamma ray", "gamma", ""]
+    words = ["alpha", "beta", "beta x", "betas", "gamma ray", "gamma", "", "a long line of many words", "a long line of more words", "al"]
     sides = [[(c, i, r.choice(words)) for c in range(20) for i in range(6)] for _ in range(2)]
     a, b = (spark.createDataFrame(s, "pair_id long, ord long, normalized string") for s in sides)
     got = {}
