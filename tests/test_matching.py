@@ -126,9 +126,9 @@ def test_each_count_of_links_is_solved_best():
 
 
 def test_large_pages_end():
-    weights = np.random.default_rng(1).integers(400_000, 1_000_000, (1200, 1300))
+    weights = np.random.default_rng(1).integers(400_000, 1_000_000, (500, 520))
     full, short = matching.best_links(weights, weights > 600_000)
-    assert (full >= 0).sum() == 1200 and len(set(full.tolist())) == 1200 and (short >= 0).sum() == 1199
+    assert (full >= 0).sum() == 500 and len(set(full.tolist())) == 500 and (short >= 0).sum() == 499
 
 
 def greedy(edges):
