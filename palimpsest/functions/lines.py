@@ -18,7 +18,8 @@ MEANINGFUL = (
     r"\d+(?:\.\d+)?\s*[x×]\s*\d+(?:\.\d+)?",
     r"[\d.\s'\"°\-–—/]{2,}",
 )
-#: Categories of change in order of precedence (fixed values). B and W stand for the bounds and words of the engine at hand.
+#: Categories of change in order of precedence (fixed values). ``el.`` and ``issue #`` stand apart from the words
+#: beside them: a bound after a mark asks for a word character next, which the SQL of plans/oracle.py has to spell out.
 CATEGORIES: dict[str, tuple[str, ...]] = {
     "dimension": (
         rf"\d+\s*{_FEET}",

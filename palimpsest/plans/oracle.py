@@ -1,4 +1,7 @@
-"""The same queries as DuckDB SQL. Word bounds are spelled out, since its patterns know them for ASCII only."""
+"""The same queries as DuckDB SQL. Word bounds are spelled out, since its patterns know them for ASCII only.
+
+Tables of patterns come from the library here; sheets.py and reports.py state theirs on their own.
+"""
 
 from __future__ import annotations
 
