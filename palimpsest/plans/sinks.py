@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.lines import decimals
 from palimpsest.operators.display import percentage
+from palimpsest.scratch import merged
 
 SECTIONS = {"changed_value": "changed", "partial_match": "partial", "missing_in_target": "missing", "extra_in_target": "extra", "uncertain": "uncertain"}
 
@@ -108,7 +109,7 @@ def text_diff_markdown(diff: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     counted = diff.groupBy("pair_id").agg(*[n(k) for k in ("matched", *HEADINGS)])
     summary = F.concat(F.lit("# Text differences\n\n| Kind | Count |\n| --- | --- |\n"), F.concat_ws("\n", *[F.concat(F.lit(f"| {k} | "), F.col(k).cast("string"), F.lit(" |")) for k in ("matched", *HEADINGS)]))
     texts = F.coalesce(F.transform("parts", lambda p: p["text"]), F.array().cast("array<string>"))
-    return counted.join(sections, "pair_id", "left").select("pair_id", F.array_join(F.concat(F.array(summary), texts), "\n\n").alias("markdown"))
+    return counted.join(merged(sections), "pair_id", "left").select("pair_id", F.array_join(F.concat(F.array(summary), texts), "\n\n").alias("markdown"))
 
 
 def provider_benchmark(metrics: DataFrame, errors: DataFrame) -> DataFrame:
