@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from palimpsest.config import CompareConfig
 from palimpsest.operators import classify, matching
+from palimpsest.scratch import merged
 
 _ONE_SIDED = ("field_id", "field_type", "label", "value", "normalized_label", "normalized_value", "page_number")
 
@@ -25,8 +26,8 @@ def compare(source: DataFrame, target: DataFrame, cfg: CompareConfig, *, cut) ->
     scored = cut(matching.candidates(source, target, cfg))
     links = cut(matching.assign(scored, source, target, cfg))
     signals = ["label_similarity", "value_similarity", "token_overlap", "regex_compatibility", "composite", "labels_absent"]
-    linked = classify.classified(links.join(scored.select("pair_id", "s_ord", "t_ord", *signals), ["pair_id", "s_ord", "t_ord"]), cfg)
-    paired = linked.join(_side(source, "s"), ["pair_id", "s_ord"]).join(_side(target, "t"), ["pair_id", "t_ord"])
+    linked = classify.classified(links.join(merged(scored.select("pair_id", "s_ord", "t_ord", *signals)), ["pair_id", "s_ord", "t_ord"]), cfg)
+    paired = linked.join(merged(_side(source, "s")), ["pair_id", "s_ord"]).join(merged(_side(target, "t")), ["pair_id", "t_ord"])
     out = paired.unionByName(_alone(source, links, "s", "missing_in_target"), allowMissingColumns=True)
     return out.unionByName(_alone(target, links, "t", "extra_in_target"), allowMissingColumns=True)
 

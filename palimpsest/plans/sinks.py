@@ -25,7 +25,7 @@ def json_reports(results: DataFrame, summary: DataFrame, flagged: DataFrame) ->
     by_section = results.withColumn("section", section(F.col("match_type"))).filter("section is not null").groupBy("pair_id", "section").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     sections = by_section.groupBy("pair_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "rows")))).alias("sections"))
     flags = flagged.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("field_reference", "type", "severity", "reason", "confidence"))).alias("flags"))
-    whole = summary.join(sections, "pair_id", "left").join(flags, "pair_id", "left")
+    whole = summary.join(merged(sections), "pair_id", "left").join(merged(flags), "pair_id", "left")
     counts = F.struct(*[c for c in summary.columns if c != "pair_id"])
     return whole.select("pair_id", F.to_json(F.struct(F.lit("1.0").alias("schema_version"), counts.alias("summary"), "sections", "flags"), {"ignoreNullFields": "true"}).alias("report"))
 
