@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import schemas
 from palimpsest.functions import geometry
-from palimpsest.functions.arrays import running_sums
+from palimpsest.functions.arrays import let, running_sums
 
 
 class UnsupportedProvider(ValueError):
@@ -55,12 +55,17 @@ def word_level(rows: DataFrame, level: int = 5) -> DataFrame:
 
 
 def token_boxes(line: Column, box: Column) -> Column:
-    """Array of (text, x1, x2) of a line's words, its width shared out by their lengths."""
-    words = F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
-    total = F.greatest(F.char_length(F.array_join(words, "")), F.lit(1))
-    unit = geometry.width(box) / total
-    ends = running_sums(F.transform(words, F.char_length))
-    return F.zip_with(words, ends, lambda w, end: F.struct(w.alias("text"), (box["x1"] + (end - F.char_length(w)) * unit).alias("x1"), (box["x1"] + end * unit).alias("x2")))
+    """Array of (text, x1, x2) of a line's words, its width shared out by their lengths; split once a line, and not once a word."""
+
+    def shared(words: Column) -> Column:
+        total = F.greatest(F.char_length(F.array_join(words, "")), F.lit(1))
+        ends = running_sums(F.transform(words, F.char_length))
+        return let(F.struct(box["x1"].alias("x1"), (geometry.width(box) / total).alias("unit")), lambda at: F.zip_with(words, ends, lambda w, end: placed(at, w, end)))
+
+    def placed(at: Column, w: Column, end: Column) -> Column:
+        return F.struct(w.alias("text"), (at["x1"] + (end - F.char_length(w)) * at["unit"]).alias("x1"), (at["x1"] + end * at["unit"]).alias("x2"))
+
+    return let(F.filter(F.split(line, r"(?U)\s+"), lambda w: w != ""), shared)
 
 
 def line_id(page: Column, number: Column) -> Column:
