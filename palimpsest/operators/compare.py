@@ -23,7 +23,7 @@ def _alone(df: DataFrame, links: DataFrame, side: str, kind: str) -> DataFrame:
 
 def compare(source: DataFrame, target: DataFrame, cfg: CompareConfig, *, cut) -> DataFrame:
     """Results with both sides, outcome, confidence and reason; ``cut`` ends the lineage of what is used twice."""
-    scored = cut(matching.candidates(source, target, cfg))
+    scored = cut(matching.contenders(source, target, cfg))
     links = cut(matching.assign(scored, source, target, cfg))
     signals = ["label_similarity", "value_similarity", "token_overlap", "regex_compatibility", "composite", "labels_absent"]
     linked = classify.classified(links.join(merged(scored.select("pair_id", "s_ord", "t_ord", *signals)), ["pair_id", "s_ord", "t_ord"]), cfg)
