@@ -91,8 +91,8 @@ def _compatibility(a: Sequence[str | None], b: Sequence[str | None]) -> np.ndarr
 
 
 @lru_cache(maxsize=1024)
-def _labels(*sides: tuple[str, ...]) -> np.ndarray:
-    return similarity._text_matrix(*map(list, sides))
+def _labels(source: tuple[str, ...], target: tuple[str, ...]) -> np.ndarray:
+    return similarity._text_matrix(list(source), list(target), *(list(map(similarity.sorted_of, side)) for side in (source, target)))
 
 
 class Page:
@@ -103,28 +103,36 @@ class Page:
         bare = np.array([x == "" for x in source["label"]])[:, None] & np.array([x == "" for x in target["label"]])
         rest = 1 - cfg.label_weight
         weight = lambda w: np.where(bare, w / rest, w)
-        self.label = _labels(*(tuple(side[n]) for n in ("label", "sorted_label") for side in (source, target)))
+        self.label = _labels(tuple(source["label"]), tuple(target["label"]))
         self.w_label, self.w_value, self.w_token = np.where(bare, 0.0, cfg.label_weight), weight(cfg.value_weight), weight(cfg.token_weight)
         self.kinds = weight(cfg.regex_weight) * _compatibility(source["kind"], target["kind"])
-        self.alnum = [[set(x.split(" ")) if x else set() for x in side["alnum"]] for side in (source, target)]
-        self.tokens = [[x.split(" ") if x else [] for x in side["words"]] for side in (source, target)]
+        self._made: tuple[dict, dict] = {}, {}
+
+    def _of(self, side: int, i: int) -> tuple:
+        """Value, its sorted tokens, and the tokens of a record that is scored."""
+        if (made := self._made[side].get(i)) is None:
+            rows = (self.s, self.t)[side]
+            made = self._made[side][i] = rows["value"][i], similarity.sorted_of(rows["value"][i]), similarity.record_tokens(*(rows[n][i] for n in similarity.BLOCK_TEXTS))
+        return made
 
     def composite(self, value, overlap, at=...) -> np.ndarray:
         """The weighted sum, in the order of matching.breakdown."""
         return self.w_label[at] * self.label[at] + self.w_value[at] * value + self.w_token[at] * overlap + self.kinds[at]
 
     def exact(self, i: int, j: int) -> tuple[float, float]:
-        """Value similarity and token overlap of one pair."""
-        s, t = self.s, self.t
-        value = similarity.text_similarity_of(s["value"][i], t["value"][j], s["sorted_value"][i], t["sorted_value"][j])
-        return value, similarity.token_overlap_of(self.tokens[0][i], self.tokens[1][j], self.alnum[0][i], self.alnum[1][j], s["words"][i], t["words"][j])
+        """Value similarity and token overlap of one pair; records of equal texts have all in common."""
+        if all(self.s[n][i] == self.t[n][j] for n in similarity.BLOCK_TEXTS):
+            return 1.0, 1.0
+        a, b = self._of(0, i), self._of(1, j)
+        return similarity.text_similarity_of(a[0], b[0], a[1], b[1]), similarity.token_overlap_of(a[2], b[2])
 
     def bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        s, t = self.s, self.t
-        value = np.maximum(_most(s["value"], t["value"]), _most(s["sorted_value"], t["sorted_value"]))
-        n, m = (np.array([len(x) for x in side], float) for side in self.alnum)
-        fewer, more = np.minimum(n[:, None], m), np.maximum(n[:, None], m)
-        return value, np.where(more == 0, 1.0, np.where(fewer == 0, 0.0, 0.5 + 0.5 * fewer / np.maximum(more, 1)))
+        """Of value similarities and token overlaps. Sorting moves characters and adds none where single spaces part the tokens."""
+        sides = [side["value"] for side in (self.s, self.t)]
+        value = _most(*sides)
+        if not all(map(similarity.is_even, (x for side in sides for x in side))):
+            value = np.maximum(value, _most(*(list(map(similarity.sorted_of, side)) for side in sides)))
+        return value, np.ones_like(value)
 
 
 def settled(page: Page) -> list[tuple[int, int, float, float]] | None:
@@ -186,7 +194,7 @@ def found_pairs(source: dict[str, list], target: dict[str, list], whole: bool, c
     if whole and (links := settled(page)) is not None:
         i, j = (np.array([x[k] for x in links], np.int32) for k in (0, 1))
         return [i, j, page.label[i, j], np.array([x[2] for x in links], float), np.array([x[3] for x in links], float)]
-    value, overlap = similarity.block_matrices(source, target)
+    _, value, overlap = similarity.block_matrices(source, target)
     i, j = np.nonzero(page.composite(value, overlap) >= cfg.min_pair_composite)
     return [i.astype(np.int32), j.astype(np.int32), page.label[i, j], value[i, j], overlap[i, j]]
 
