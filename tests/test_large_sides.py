@@ -17,6 +17,6 @@ def no_broadcast(spark):
         spark.conf.unset(k)
 
 
-@pytest.mark.parametrize("name", ["sheet_difference_summary", "sheet_differences", "sheet_top_snippets", "sheet_text_report", "sheet_ratios", "sheet_report", "sheet_summary", "sheet_reasons", "sheet_sentences"])
+@pytest.mark.parametrize("name", ["sheet_difference_summary", "sheet_differences", "sheet_top_snippets", "sheet_text_report", "sheet_ratios", "sheet_report", "sheet_summary", "sheet_reasons", "sheet_sentences", "sheet_recap"])
 def test_rows_are_not_broadcast(no_broadcast, name):
     assert catalogue.QUERIES[name](no_broadcast, "/root/testdata/sf0.001").collect()
